@@ -34,9 +34,9 @@ class Forest:
     shallow: int = 2
     small: int = 32
     near: int = 4
-    hubs: int = 48
+    hubs: int = 24
     doubt: float = 0.15
-    sure: float = 0.10
+    sure: float = 0.08
     region_rows: int = 8192
 
 
@@ -223,7 +223,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: Forest) -> DataFrame:
                 good[i] = 100 * both >= p.percent * (len(x) + len(y) - both)
             yield pa.record_batch([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge")  # grows with the data: never broadcast
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "doc_id long, z binary")
     needed = materialize(packed.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
     both = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a").join(needed.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
