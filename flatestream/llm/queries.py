@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, mixing, sharding
+from . import decontamination, html_extraction, language_id, line_dedup, masked_lm, media, mixing, quality_lm, sharding
 from .common import table
 from .near_dedup import Forest, near_duplicates
 
@@ -16,6 +16,22 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Forest(k=4))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.masked_scores(table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.pfair_mix(docs).select("doc_id", "mix_source", "epoch", "block", "position", "place")
@@ -43,6 +59,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_media": op2_media,
+    "op3_quality": op3_quality,
+    "op4_masked_lm": op4_masked_lm,
+    "op5_html_extraction": op5_html_extraction,
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
