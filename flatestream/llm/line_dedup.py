@@ -37,7 +37,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     repeated = materialize(first.where("n > 1").select("h1", "h2", "first"), "repeated-windows")
     later = rows.join(repeated, ["h1", "h2"]).where(~F.struct("doc_id", "_t", "at").eqNullSafe(F.col("first")))
     places = later.groupBy("doc_id", "_t").agg(F.array_sort(F.collect_set("at")).alias("_at"))
-    places = materialize(places, "removed-windows").withColumnsRenamed({"doc_id": "_d", "_t": "_u"})
+    places = materialize(places, "removed-windows").withColumnsRenamed({"doc_id": "_d", "_t": "_u"}).hint("merge")  # grows with the data: never broadcast
 
     on = docs["doc_id"].eqNullSafe(places["_d"]) & (F.xxhash64(docs["text"]) == places["_u"])
     out = docs.join(places, on, "left").withColumn("_l", F.when(F.col("text").isNotNull(), _lines()))
