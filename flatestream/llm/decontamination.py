@@ -45,8 +45,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent:
 
     Words are runs of bytes other than white space, lower-cased; an item of 1 to k - 1 words is one shingle, sought among
     the documents' runs of as many words. Null, empty and blank texts contain nothing and are contained nowhere. If a
-    doc_id or item_id occurs more than once, the pair has the greatest count of its rows. An empty table on either side gives
-    no rows. Other columns are ignored.
+    doc_id or item_id occurs more than once, the pair has the greatest count of its rows. Rows with a null
+    doc_id are left out. An empty table on either side gives no rows. Other columns are ignored.
     """
     items = benchmark.select("item_id", _words("text").alias("w")).where(F.size("w") > 0).withColumn("length", F.least(F.size("w"), F.lit(k)))
     hashed = F.transform("w", lambda w: F.xxhash64(w))

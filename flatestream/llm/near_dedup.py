@@ -235,13 +235,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: Forest) -> DataFrame:
 def near_duplicates(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
 
-    One row for each distinct doc_id. Null and empty texts have no shingles and are linked with nothing. A text of fewer than
+    One row for each row of docs. Null and empty texts have no shingles and are linked with nothing. A text of fewer than
     k words is one shingle. Documents with equal sets are one class from the start, however many there are; only one of
     them takes part in the search. If a doc_id occurs more than once, its rows count as one document with any of its
-    texts. Other columns of `docs` are ignored.
+    texts. A row with a null doc_id is linked with nothing and kept, its component null. Other columns of `docs` are
+    ignored; an empty table gives no rows.
     """
     sigs = materialize(signatures(docs, p), "near-sigs")
-    sets = materialize(sigs.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "near-sets")
+    sets = materialize(sigs.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "near-sets")
     reps = sigs.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     pairs = materialize(candidates(tree_rows(reps, p), p), "near-pairs")
     links = confirmed(pairs, docs, p)
@@ -249,6 +250,6 @@ def near_duplicates(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     classes = materialize(sets.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id")), "near-classes")
     forget(pairs, links, sets)
     out = sigs.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    none = F.col("n_shingles") == 0
+    none = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(none, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
