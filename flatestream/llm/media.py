@@ -8,6 +8,7 @@ order and the rebuilt file is held against its own digest.
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import struct
 import uuid
@@ -29,6 +30,11 @@ GEAR = np.random.default_rng(64).integers(0, 1 << 32, 256, np.uint64).astype(np.
 HOT_REFERENCES, SALTS = 256, 32
 
 
+def digest_of(data: bytes) -> bytes:
+    """128 bits of SHA-256: the name of a chunk or a medium inside the store."""
+    return hashlib.sha256(data).digest()[:16]
+
+
 def payload_of(text: str | None) -> bytes:
     raw = (text or "").encode("utf-8", "surrogatepass")
     return raw + bytes(UNIT if not raw else -len(raw) % UNIT)
@@ -79,7 +85,7 @@ def feature(payload: bytes) -> str:
 
 
 def manifests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media_sha256 and the ordered chunk digests of every row."""
+    """doc_id, n_bytes, the medium's digest `sha` and the ordered chunk digests of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,8 +94,8 @@ def manifests(docs: DataFrame) -> DataFrame:
                 text = text.as_py()
                 medium = wav(payload_of(text))
                 sizes.append(len((text or "").encode("utf-8", "surrogatepass")))
-                shas.append(hashlib.sha256(medium).digest())
-                digests.append([hashlib.sha256(c).digest() for c in chunks(medium)])
+                shas.append(digest_of(medium))
+                digests.append([digest_of(c) for c in chunks(medium)])
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(digests, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "sha", "digests"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, sha binary, digests array<binary>")
@@ -97,19 +103,16 @@ def manifests(docs: DataFrame) -> DataFrame:
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
     """digest and compressed bytes of every chunk, once for each block of rows in a task."""
-    import zstandard
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=9, write_content_size=True, write_checksum=False)
         found: dict[bytes, bytes] = {}
         held = 0
         out = lambda: pa.record_batch([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["digest", "z"])
         for batch in batches:
             for text in batch.column(0):
                 for chunk in chunks(wav(payload_of(text.as_py()))):
-                    digest = hashlib.sha256(chunk).digest()
+                    digest = digest_of(chunk)
                     if digest not in found:
-                        found[digest] = z.compress(chunk)
+                        found[digest] = bz2.compress(chunk)
                         held += len(found[digest])
                 if held > 4 << 20:
                     yield out()
@@ -137,18 +140,15 @@ def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
 
     sha, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. Raises where a rebuilt medium doesn't have its digest.
     """
-    import zstandard
-
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
         names = ["sha", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
         def one(sha: bytes, parts: list[bytes]) -> tuple:
             medium = b"".join(parts)
-            if hashlib.sha256(medium).digest() != sha:
+            if digest_of(medium) != sha:
                 raise ValueError(f"the chunks of {sha.hex()} don't give its medium")
             payload = samples(medium)
-            return sha, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(medium), sha.hex(), feature(payload)
+            return sha, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(medium), hashlib.sha256(medium).hexdigest(), feature(payload)
 
         types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         current, parts, rows = None, [], []
@@ -159,7 +159,7 @@ def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
                     if current is not None:
                         rows.append(one(current, parts))
                     current, parts = sha, []
-                parts.append(z.decompress(data.as_py()))
+                parts.append(bz2.decompress(data.as_py()))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                 rows = []
