@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import checksums, grouping, indexes, intervals, ranges, statistics
 from ..operators.scans import running
-from ..sources import archives
+from ..sources import archives, resume
 from ..sources.blocks import block_table, block_violations
 from ..streaming import streams
+from . import actions
 from .views import bench_rows, damaged, document_archives, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -435,3 +436,35 @@ def q_window_rank(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def q_rollup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+# Index files and decoding from points inside streams
+
+
+@query(f"WITH {M} SELECT file_id, form, count(*) AS points, max(off)::BIGINT AS last_offset, any_value(n)::BIGINT AS uncompressed_size FROM mm, (VALUES ('native'), ('gzidx'), ('gztool')) t(form) GROUP BY ALL")
+def index_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    files = files_of(spark, d)
+    out = None
+    for form in ("native", "gzidx", "gztool"):
+        points, _, meta = actions.import_index(actions.export_index(files, form, spacing=4096))
+        one = points.groupBy("file_id").agg(F.count(F.lit(1)).alias("points"), F.max("uncompressed_offset").alias("last_offset"))
+        one = one.join(meta, "file_id").select("file_id", F.lit(form).alias("form"), "points", "last_offset", "uncompressed_size")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT doc_id::VARCHAR AS file_id, octet_length(encode(text))::BIGINT AS bytes, true AS agree FROM documents WHERE octet_length(encode(text)) > 0")
+def decode_inside_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as one member each, decoded span by span from block starts at any bit, with windows; agree compares the combined CRC-32."""
+    docs = table(spark, d, "documents").where("octet_length(text) > 0")
+    files = document_archives(docs, member_bytes=1 << 30)
+    points = block_table(files).where("uncompressed_size > 0").select("file_id", F.col("index_in_stream").alias("ordinal"), "compressed_offset_bits", "uncompressed_offset", F.col("uncompressed_size").alias("expected_size"), (F.col("compressed_offset_bits") + F.col("compressed_size_bits")).alias("next_bits"))
+    pieces = resume.decode_points(files, resume.windows_at(files, points))
+    whole = docs.select(F.col("doc_id").cast("string").alias("file_id"), F.crc32(F.col("text").cast("binary")).alias("whole"))
+    found = checksums.combined_crc32(pieces, ["file_id"], "ordinal", "bytes").join(whole, "file_id")
+    return found.select("file_id", "bytes", (F.col("crc32") == F.col("whole")).alias("agree"))
+
+
+@query()
+def analysis_report(spark: SparkSession, d: str) -> DataFrame:
+    return actions.analyze(files_of(spark, d))
