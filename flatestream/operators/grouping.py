@@ -71,3 +71,10 @@ def fair_shares(demand: DataFrame, name: str, wanted: str, slots: int, start: in
     units = rows.where("_ask > 0").select(name, "_turn", F.explode(F.sequence(F.lit(1), F.col("_ask"))).alias("_round"))
     given = units.orderBy("_round", "_turn").limit(slots).groupBy(name).agg(F.count(F.lit(1)).alias("granted"))
     return demand.select(name).join(given, name, "left").select(name, F.coalesce("granted", F.lit(0)).cast("long").alias("granted"))
+
+
+def at_most(df: DataFrame, keys: list[str], n: int, what: str) -> DataFrame:
+    """df itself; running it raises where a group has more than n rows. Limits fail, they don't cut."""
+    over = df.groupBy(*keys).count().where(F.col("count") > n) if keys else df.groupBy().count().where(F.col("count") > n)
+    fail = over.select(F.raise_error(F.lit(f"more than {n} {what}")).cast(df.schema[0].dataType).alias(df.columns[0]))
+    return df.unionByName(fail, allowMissingColumns=True)

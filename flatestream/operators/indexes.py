@@ -114,3 +114,24 @@ def all_or_none_lines(checkpoints: DataFrame) -> DataFrame:
     """line_offset of every checkpoint of a file, or of none if one lacks it."""
     whole = F.bool_and(F.col("line_offset").isNotNull()).over(Window.partitionBy("file_id"))
     return checkpoints.withColumn("line_offset", F.when(whole, F.col("line_offset")))
+
+
+def line_offsets_at(points: DataFrame, lines: DataFrame, bucket_bytes: int = 16 << 20) -> DataFrame:
+    """points (file_id, uncompressed_offset, ...) with line_offset, the line breaks before each; lines as line_table gives them.
+
+    Breaks and points are put in one order and counted along it, so no point meets all breaks before it.
+    """
+    from .scans import running
+
+    kept = [x for x in points.columns if x != "line_offset"]
+    breaks = lines.where("terminated").select("file_id", (F.col("byte_offset") + F.octet_length("text")).alias("_at"), F.lit(1).alias("_break"))
+    rows = points.select("file_id", F.col("uncompressed_offset").alias("_at"), F.struct(*kept).alias("_point")).unionByName(breaks, allowMissingColumns=True)
+    found = running(rows, ["file_id"], F.floor(F.col("_at") / bucket_bytes), [F.col("_at"), F.coalesce("_break", F.lit(0))], {"line_offset": ("count", F.col("_break"))})
+    return found.where("_point is not null").select("_point.*", "line_offset")
+
+
+def line_mismatches(checkpoints: DataFrame, lines: DataFrame) -> DataFrame:
+    """file_id, ordinal, imported, counted: checkpoints whose line_offset isn't what the decoded lines give; empty for a true index."""
+    known = checkpoints.where("line_offset is not null")
+    counted = line_offsets_at(known.withColumn("imported", F.col("line_offset")), lines)
+    return counted.where("imported <> line_offset").select("file_id", "ordinal", "imported", F.col("line_offset").alias("counted"))

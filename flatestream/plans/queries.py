@@ -468,3 +468,22 @@ def decode_inside_streams(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def analysis_report(spark: SparkSession, d: str) -> DataFrame:
     return actions.analyze(files_of(spark, d))
+
+
+@query(f"WITH {L}, m AS (SELECT file_id, unnest(range(0, greatest(1, (n + 4095) // 4096))) AS ordinal FROM d) SELECT file_id, ordinal, (SELECT count(*) FROM nl WHERE nl.file_id = m.file_id AND nl.pos < ordinal * 4096) AS line_offset FROM m")
+def line_offsets_at_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    files = files_of(spark, d)
+    points = archives.checkpoints_of(archives.member_table(files, "gzip")).drop("line_offset")
+    return indexes.line_offsets_at(points, archives.line_table(files, "gzip")).select("file_id", "ordinal", "line_offset")
+
+
+@query("SELECT '' AS file_id, 0::BIGINT AS ordinal, 0::BIGINT AS imported, 0::BIGINT AS counted WHERE false")
+def line_index_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    files = files_of(spark, d)
+    return indexes.line_mismatches(archives.checkpoints_of(archives.member_table(files, "gzip")), archives.line_table(files, "gzip"))
+
+
+@query("SELECT user_id, count(*) AS sessions, sum(k)::BIGINT AS samples FROM (SELECT user_id, s, count(*) AS k FROM (SELECT user_id, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS o FROM events)) GROUP BY user_id, s) GROUP BY user_id")
+def telemetry_sessions(spark: SparkSession, d: str) -> DataFrame:
+    found = streams.sessions(table(spark, d, "events"))
+    return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("samples").alias("samples"))

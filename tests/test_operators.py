@@ -130,3 +130,52 @@ def test_archive_stream_and_late_data(spark, tmp_path):
     rows = member_table(streams.arriving_archives(spark, f"file://{tmp_path}/*.gz"), "gzip")
     got = streams.finished(rows, f"file://{tmp_path}/out")
     assert sorted((r.member_count, r.line_count, r.ok) for r in decode_report(got).collect()) == [(2, 2, True), (2, 4, True), (2, 6, True)]
+
+
+def test_benchmark_tables(spark, tmp_path):
+    from flatestream import schema
+    from flatestream.sources import tsv
+
+    header = [c.strip().strip("`").split("`")[0].split(" ")[0] for c in schema.BENCH_RAW.replace("`order`", "order").split(", ")]
+    row = lambda tool, rep, wall, ok: ["t", "c|x", "m", tool, "z", "4", str(rep), "0", *([str(wall)] * 4 if ok else [""] * 4), "100", *([str(wall)] if ok else [""]), "0" if ok else "1", "success" if ok else "failed", "o", "e"]
+    rows = [row("main", 1, 2.0, True), row("main", 2, 4.0, True), row("candidate", 1, 1.0, True), row("candidate", 2, 2.0, True), row("candidate", 3, 0, False)]
+    path = tmp_path / "raw.tsv"
+    path.write_text("\n".join("\t".join(r) for r in [header, *rows]) + "\n")
+    raw = tsv.read_raw(spark, f"file://{path}")
+    assert statistics.bench_violations(raw).count() == 0
+    summary = statistics.bench_summary(raw)
+    got = {r.tool: (r.attempts, r.successes, r.failures, r.median_wall_seconds) for r in summary.collect()}
+    assert got == {"main": (2, 2, 0, 3.0), "candidate": (3, 2, 1, 1.5)}
+    delta = statistics.paired_delta(raw.where("status = 'success'"), ["corpus"], ["threads", "repetition"], "tool", "wall_seconds", "main", "candidate").first()
+    assert (delta.pairs, delta.median_delta) == (2, -50.0)
+    assert {r.rule for r in statistics.bench_violations(raw.unionByName(raw.limit(1)).withColumn("exit_status", F.lit(0))).collect()} >= {"attempt occurs more than once", "status disagrees with exit_status"}
+    tsv.write_summary(summary, f"file://{tmp_path}/out", spark.createDataFrame([("os", "x")], "key string, value string"))
+    text = next((tmp_path / "out/summary").glob("part*")).read_text().splitlines()
+    assert len(text) == 3 and "1.500000" in text[1]
+    assert tsv.markdown(summary.select("corpus", "tool"), ["tool"]).orderBy("ord").collect()[2].line == "| c\\|x | candidate |"
+    path.write_text("\n".join("\t".join(r) for r in [header[::-1], *rows]) + "\n")
+    with pytest.raises(Exception):
+        tsv.read_raw(spark, f"file://{path}").collect()
+
+
+def test_sequence_records_and_limits(spark):
+    from flatestream.plans.views import gzip_member
+    from flatestream.sources import archives, tsv
+
+    lines = [r.line for r in tsv.fastq_like(spark, 20).orderBy("line_no").collect()]
+    assert len(lines) == 80 and lines[0] == "@read-0" and set(lines[1]) <= set("ACGT")
+    files = spark.createDataFrame([("f", gzip_member("\n".join(lines).encode() + b"\n"))], "file_id string, content binary")
+    table = archives.line_table(files)
+    assert tuple(tsv.fastq_records(table).first()) == ("f", 20, 1000)
+    with pytest.raises(Exception):
+        tsv.fastq_records(table.where("line < 79")).collect()
+    assert grouping.at_most(table, ["file_id"], 80, "lines").count() == 80
+    with pytest.raises(Exception):
+        grouping.at_most(table, ["file_id"], 79, "lines").collect()
+
+
+def test_first_arrivals(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:01:00"), (2, "2024-01-01 00:02:00")], "key long, t string").selectExpr("key", "cast(t as timestamp) ts")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    assert sorted(r.key for r in streams.finished(streams.first_arrivals(stream, "key"), f"file://{tmp_path}/out").collect()) == [1, 2]
