@@ -52,12 +52,13 @@ def greedy_batches(df: DataFrame, keys: list[str], order: list[str], weight: str
     return rows.mapInPandas(fold, f"{schema}, batch long")
 
 
-def accepted_chain(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """The rows of each group that follow one another without a gap from its first start, as far as they do."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    linked = F.coalesce(F.lag(end).over(w) == F.col(start), F.row_number().over(w) == 1)
-    rows = df.withColumn("_broken", F.when(linked, 0).otherwise(1))
-    return rows.withColumn("_breaks", F.sum("_broken").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_breaks = 0").drop("_broken", "_breaks")
+def accepted_chain(df: DataFrame, keys: list[str], start: str, end: str, bucket: Column) -> DataFrame:
+    """The rows of each group that follow one another without a gap from its first start, as far as they do. `bucket` follows start."""
+    order = [F.col(start), F.col(end)]
+    rows = running(df, keys, bucket, order, {"_end": ("last", F.col(end))})
+    broken = F.when(F.col("_end").isNull() | (F.col("_end") == F.col(start)), 0).otherwise(1)
+    rows = running(rows.withColumn("_broken", broken), keys, bucket, order, {"_breaks": ("sum", F.col("_broken"))})
+    return rows.where("_breaks + _broken = 0").select(*df.columns)
 
 
 def fair_shares(demand: DataFrame, name: str, wanted: str, slots: int, start: int = 0) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import running
+
 
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int, integers: bool = False) -> DataFrame:
     """keys, bin, low, high, count of equal bins over [min, max]; the maximum is in the last bin. Empty bins have no row.
@@ -15,7 +19,7 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int, integers: b
     ends = rows.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"))
     n = F.least(F.lit(bins), (F.col("high") - F.col("low") + 1).cast("long")) if integers else F.lit(bins)
     ends = ends.withColumn("n", n.cast("long"))
-    rows = rows.join(F.broadcast(ends), keys) if keys else rows.crossJoin(F.broadcast(ends))
+    rows = rows.join(ends, keys) if keys else rows.crossJoin(ends)  # without keys, ends is one row
     place = F.when(F.col("high") == F.col("low"), 0).otherwise(F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * F.col("n")), F.col("n") - 1))
     return rows.withColumn("bin", place.cast("long")).groupBy(*keys, "bin", "low", "high").agg(F.count(F.lit(1)).alias("count"))
 
@@ -25,19 +29,27 @@ def median(value: str) -> Column:
     return F.median(value)
 
 
-def nth(value: str, place: Column) -> Column:
-    """The value at a place from 0 of a group's sorted values."""
-    return F.element_at(F.array_sort(F.collect_list(value)), place.cast("int") + 1)
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: Mapping[str, Callable[[Column], Column]], buckets: int = 1024) -> DataFrame:
+    """keys and, for each name, the value at a place from 0 of the group's sorted values; a place is a function of their number.
+
+    Nulls are left out. Values are ranked by buckets of their range, so a large group is spread over tasks and never collected.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    ends = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(ends, keys) if keys else rows.crossJoin(ends)
+    bucket = F.when(F.col("_high") == F.col("_low"), 0).otherwise(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * buckets))
+    ranked = running(rows, keys, bucket, [F.col("_v")], {"_place": ("count", F.lit(1))})
+    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_place") == place(F.col("_n")), F.col("_v"))).alias(name) for name, place in places.items()])
 
 
-def upper_median(value: str) -> Column:
+def upper_median(n: Column) -> Column:
     """sorted[n div 2]."""
-    return nth(value, F.floor(F.count(value) / 2))
+    return F.floor(n / 2)
 
 
-def nearest_rank(value: str, fraction: float) -> Column:
+def nearest_rank(fraction: float) -> Callable[[Column], Column]:
     """sorted[min(n - 1, int(n * fraction))]."""
-    return nth(value, F.least(F.count(value) - 1, F.floor(F.count(value) * fraction)))
+    return lambda n: F.least(n - 1, F.floor(n * fraction))
 
 
 METRICS = ["wall_seconds", "user_seconds", "system_seconds", "max_rss_kib", "decoded_mib_per_second"]
@@ -93,7 +105,7 @@ def bootstrap_median_upper(df: DataFrame, value: str, seed: int = 1, iterations:
     draw = F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda j: F.element_at("v", (F.pmod(F.xxhash64(F.lit(seed), "id", j), F.size("v")) + 1).cast("int")))
     s = F.array_sort(draw)
     rows = rows.select(((F.element_at(s, F.floor((F.size(s) - 1) / 2).cast("int") + 1) + F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)) / 2).alias("m"))
-    return rows.agg(nearest_rank("m", fraction).alias("upper"))
+    return order_statistics(rows, [], "m", {"upper": nearest_rank(fraction)})
 
 
 def parity(df: DataFrame, keys: list[str], tool: str, digest: str) -> DataFrame:

@@ -286,7 +286,10 @@ def paired_ab_delta(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, median(o_totalprice) AS middle, list_sort(list(o_totalprice))[count(*) // 2 + 1] AS upper, list_sort(list(o_totalprice))[least(count(*) - 1, floor(count(*) * 0.9)::BIGINT) + 1] AS p90 FROM orders GROUP BY 1")
 def three_medians(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(statistics.median("o_totalprice").alias("middle"), statistics.upper_median("o_totalprice").alias("upper"), statistics.nearest_rank("o_totalprice", 0.9).alias("p90"))
+    orders = table(spark, d, "orders")
+    middle = orders.groupBy("o_orderpriority").agg(statistics.median("o_totalprice").alias("middle"))
+    ranked = statistics.order_statistics(orders, ["o_orderpriority"], "o_totalprice", {"upper": statistics.upper_median, "p90": statistics.nearest_rank(0.9)})
+    return middle.join(ranked, "o_orderpriority")
 
 
 @query()
@@ -337,7 +340,7 @@ SELECT l_orderkey, s AS start, e AS "end" FROM k""")
 def adjacency_chain(spark: SparkSession, d: str) -> DataFrame:
     late = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 5 == 0, 1).otherwise(0)
     rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1 + late).alias("end")).distinct()
-    return grouping.accepted_chain(rows, ["l_orderkey"], "start", "end")
+    return grouping.accepted_chain(rows, ["l_orderkey"], "start", "end", F.floor(F.col("start") / 4))
 
 
 @query("SELECT DISTINCT conv_id, turn FROM conversations")
