@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: A sketch of more rows than this isn't broadcast: the join with the documents' shingles is then a shuffle.
-BROADCAST_ROWS = 500_000
+#: A sketch or a table of items of more bytes than this isn't broadcast: the join with the documents is then a shuffle.
+BROADCAST_BYTES = 32 << 20
+SKETCH_ROW = 64
 CLASSES_PER_HIT = 4
 
 
@@ -36,8 +37,10 @@ def _texts(words: Column, length: int) -> Column:
     return F.transform(_starts(words, length), lambda i: F.array_join(F.slice(words, i + 1, length), " "))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """df, to be broadcast if its measured size allows."""
+    size = df.agg(F.sum(row_bytes).alias("size")).first()["size"] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -58,7 +61,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent:
     lengths = sorted(r.length for r in items.select("length").distinct().collect())
     most_hits = 1 + 31 // CLASSES_PER_HIT
     sketch = items.select("item_id", "n_item", "need", "spare", F.posexplode(F.slice(F.array_sort("h"), F.lit(1), (F.col("spare") + most_hits).cast("int"))).alias("place", "hash"))
-    sketch = _bounded(materialize(sketch, "sketch"))
+    sketch = _bounded(materialize(sketch, "sketch"), F.lit(SKETCH_ROW))
 
     own = docs.select("doc_id", _words("text").alias("w")).withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
     found = [_hashes(F.col("w"), F.col("h"), n) for n in lengths or [k]]
@@ -74,7 +77,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent:
     wanted = materialize(pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items")), "wanted")
     long = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "items", _words("text").alias("w"))
     long = long.select("doc_id", "items", F.array_distinct(F.concat(*[_texts(F.col("w"), n) for n in lengths or [k]])).alias("d"))
-    both = long.select("doc_id", "d", F.explode("items").alias("item_id")).join(_bounded(items.select("item_id", "n_item", "need", "s")), "item_id")
+    both = long.select("doc_id", "d", F.explode("items").alias("item_id")).join(_bounded(items.select("item_id", "n_item", "need", "s"), F.octet_length(F.array_join("s", " ")) + 16 * F.size("s") + SKETCH_ROW), "item_id")
     both = both.withColumn("n_shared", F.size(F.array_intersect("d", "s"))).where(F.col("n_shared") >= F.col("need"))
     both = both.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_shared", "n_item")).alias("x"))
     return both.select("doc_id", "item_id", F.col("x.n_item").cast("long").alias("n_item"), F.col("x.n_shared").cast("long").alias("n_shared"), "x.containment")
