@@ -33,10 +33,10 @@ class Forest:
     depth: int = 8
     shallow: int = 2
     small: int = 32
-    near: int = 4
+    near: int = 2
     hubs: int = 24
-    doubt: float = 0.15
-    sure: float = 0.08
+    doubt: float = 0.13
+    sure: float = 0.07
     region_rows: int = 8192
 
 
@@ -98,8 +98,11 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same / (2 * a.shape[1]) - 1 / 16) * (16 / 15)
 
 
-def _region_pairs(few: np.ndarray, region: np.ndarray, p: Forest) -> list[tuple[int, int]]:
-    """Candidate pairs of rows in one sorted order; `region` numbers the runs of rows with a common shallow prefix."""
+def _region_pairs(few: np.ndarray, region: np.ndarray, tree: np.ndarray, ids: np.ndarray, p: Forest) -> list[tuple[int, int]]:
+    """Candidate pairs of rows in one sorted order; `region` numbers the runs of rows with a common shallow prefix.
+
+    A hub recurs in every tree, so a pair with one is tried in half of the trees: the even ones if both ids are even or odd, else the others.
+    """
     least, sure = p.percent / 100 - p.doubt, p.percent / 100 + p.sure
     n = len(region)
     size = np.bincount(region)[region]
@@ -118,7 +121,8 @@ def _region_pairs(few: np.ndarray, region: np.ndarray, p: Forest) -> list[tuple[
         mode = np.array([np.bincount(c, minlength=16).argmax() for c in nibbles.T], np.uint8)
         hubs = np.argsort(-(nibbles == mode).sum(1), kind="stable")[: p.hubs] + s
         for h in hubs:
-            found.append((np.full(len(rows) - 1, h), rows[rows != h]))
+            met = rows[(rows != h) & ((ids[rows] ^ ids[h] ^ tree[s]) & 1 == 0)]
+            found.append((np.full(len(met), h), met))
     if not found:
         return []
     a, b = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
@@ -142,8 +146,8 @@ def _region_pairs(few: np.ndarray, region: np.ndarray, p: Forest) -> list[tuple[
     return out
 
 
-def candidates(rows: DataFrame, p: Forest) -> DataFrame:
-    """Distinct pairs a < b of doc_ids from neighbours in the sorted orders of all trees."""
+def neighbours(rows: DataFrame, p: Forest) -> DataFrame:
+    """Pairs a < b of doc_ids from the sorted orders of all trees; several trees may give one pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -154,7 +158,7 @@ def candidates(rows: DataFrame, p: Forest) -> DataFrame:
                 return None
             region = np.unique(region[shared], return_inverse=True)[1]
             ids = ids[shared]
-            found = np.array(_region_pairs(few[shared], region, p), np.int64).reshape(-1, 2)
+            found = np.array(_region_pairs(few[shared], region, head[shared, 0].astype(np.int64), ids, p), np.int64).reshape(-1, 2)
             ends = np.sort(ids[found], axis=1)
             return pa.record_batch([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["a", "b"])
 
@@ -185,7 +189,7 @@ def candidates(rows: DataFrame, p: Forest) -> DataFrame:
             yield from filter(None, [pairs(waiting)])
 
     order = ["tree", "key", "doc_id"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
 
 def _sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -244,7 +248,7 @@ def near_duplicates(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     sigs = materialize(signatures(docs, p), "near-sigs")
     sets = materialize(sigs.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "near-sets")
     reps = sigs.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    pairs = materialize(candidates(tree_rows(reps, p), p), "near-pairs")
+    pairs = materialize(neighbours(tree_rows(reps, p), p).distinct(), "near-pairs")
     links = confirmed(pairs, docs, p)
     labels = connected(links)
     classes = materialize(sets.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id")), "near-classes")
