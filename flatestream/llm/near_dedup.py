@@ -6,6 +6,11 @@ candidates. The depth adapts to the region: where at most `small` rows share the
 neighbours; in a denser region the nearest `near` rows on either side share a longer prefix by the order itself, and
 every row also meets the region's `hubs`, the rows that agree best with the region's most frequent values. Candidates
 pass an estimate from the whole signature and are then confirmed on the full shingle sets.
+
+This first wave walks `first` of the trees and joins most of each group. The second wave leaves nothing to hubs: in
+every region of every tree, each row outside the region's largest component meets all rows of other components, in
+blocks of `block` rows, so no region is held by one task. A pair is tried in the first tree whose prefix it shares.
+Candidates stay lists of ids by row; the texts of a block come to the block, not to each pair.
 """
 
 from __future__ import annotations
@@ -33,11 +38,13 @@ class Forest:
     depth: int = 8
     shallow: int = 2
     small: int = 32
-    near: int = 2
+    near: int = 4
     hubs: int = 24
-    doubt: float = 0.13
-    sure: float = 0.07
+    doubt: float = 0.15
+    sure: float = 0.08
     region_rows: int = 8192
+    first: int = 4
+    block: int = 512
 
 
 def signatures(docs: DataFrame, p: Forest) -> DataFrame:
@@ -73,7 +80,7 @@ def distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def tree_rows(sigs: DataFrame, p: Forest) -> DataFrame:
-    """One row for each tree: its `depth` values as a key that sorts as bytes, and 4 bits of every value of all trees."""
+    """One row for each of the `first` trees: its `depth` values as a key that sorts as bytes, and 4 bits of every value of all trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 4 * p.depth
@@ -84,7 +91,7 @@ def tree_rows(sigs: DataFrame, p: Forest) -> DataFrame:
                 low = own[:, 3::4] & 15
                 few = (low[:, ::2] << 4) | low[:, 1::2]
                 few = [x.tobytes() for x in few]
-                for t in range(p.trees):
+                for t in range(p.first):
                     keys = [x.tobytes() for x in own[:, t * width : (t + 1) * width]]
                     yield pa.record_batch([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys, pa.binary()), pa.array(ids[at : at + 2000]), pa.array(few, pa.binary())], ["tree", "key", "doc_id", "few"])
 
@@ -98,11 +105,8 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same / (2 * a.shape[1]) - 1 / 16) * (16 / 15)
 
 
-def _region_pairs(few: np.ndarray, region: np.ndarray, tree: np.ndarray, ids: np.ndarray, p: Forest) -> list[tuple[int, int]]:
-    """Candidate pairs of rows in one sorted order; `region` numbers the runs of rows with a common shallow prefix.
-
-    A hub recurs in every tree, so a pair with one is tried in half of the trees: the even ones if both ids are even or odd, else the others.
-    """
+def _region_pairs(few: np.ndarray, region: np.ndarray, p: Forest) -> list[tuple[int, int]]:
+    """Candidate pairs of rows in one sorted order; `region` numbers the runs of rows with a common shallow prefix."""
     least, sure = p.percent / 100 - p.doubt, p.percent / 100 + p.sure
     n = len(region)
     size = np.bincount(region)[region]
@@ -121,8 +125,7 @@ def _region_pairs(few: np.ndarray, region: np.ndarray, tree: np.ndarray, ids: np
         mode = np.array([np.bincount(c, minlength=16).argmax() for c in nibbles.T], np.uint8)
         hubs = np.argsort(-(nibbles == mode).sum(1), kind="stable")[: p.hubs] + s
         for h in hubs:
-            met = rows[(rows != h) & ((ids[rows] ^ ids[h] ^ tree[s]) & 1 == 0)]
-            found.append((np.full(len(met), h), met))
+            found.append((np.full(len(rows) - 1, h), rows[rows != h]))
     if not found:
         return []
     a, b = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
@@ -158,7 +161,7 @@ def neighbours(rows: DataFrame, p: Forest) -> DataFrame:
                 return None
             region = np.unique(region[shared], return_inverse=True)[1]
             ids = ids[shared]
-            found = np.array(_region_pairs(few[shared], region, head[shared, 0].astype(np.int64), ids, p), np.int64).reshape(-1, 2)
+            found = np.array(_region_pairs(few[shared], region, p), np.int64).reshape(-1, 2)
             ends = np.sort(ids[found], axis=1)
             return pa.record_batch([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["a", "b"])
 
@@ -200,8 +203,8 @@ def _sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, p: Forest) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough. Texts travel compressed and meet pair by pair."""
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id and the whole text, compressed."""
     import zstandard
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +212,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: Forest) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([z.compress((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())], ["doc_id", "z"])
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "doc_id long, z binary")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, p: Forest) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough. Texts travel compressed and meet pair by pair."""
+    import zstandard
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         last: dict[int, np.ndarray] = {}
@@ -228,14 +238,140 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: Forest) -> DataFrame:
             yield pa.record_batch([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge")  # grows with the data: never broadcast
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "doc_id long, z binary")
-    needed = materialize(packed.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+    needed = materialize(packed(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
     both = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a").join(needed.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
     found = materialize(both.select("a", "b", "za", "zb").mapInArrow(check, "a long, b long"), "near-links")
     forget(needed)
     return found
 
 
+GROUP = ["tree", "head", "i", "j"]
+GROUP_TYPES = "tree int, head long, i int, j int"
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with equal GROUP columns; a run may cross batches."""
+    waiting: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in GROUP], 1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for a, b in zip(edges, edges[1:]):
+            if waiting and tuple(keys[a]) != last:
+                yield pa.Table.from_batches(waiting)
+                waiting = []
+            last = tuple(keys[a])
+            waiting.append(batch.slice(a, b - a))
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def profiles(reps: DataFrame, p: Forest) -> DataFrame:
+    """doc_id, component, heads (the shallow prefix in every tree), few (4 bits of every value)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u4").reshape(batch.num_rows, p.trees, p.depth)
+            prefix = np.zeros(sig.shape[:2], np.uint64)
+            for d in range(p.shallow):
+                prefix = mix(prefix ^ sig[:, :, d].astype(np.uint64) + np.uint64(d + 1 << 32))
+            low = (sig.reshape(batch.num_rows, -1) & 15).astype(np.uint8)
+            few = (low[:, ::2] << 4) | low[:, 1::2]
+            heads = pa.array(prefix.view(np.int64).tolist(), pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0), batch.column(1), heads, pa.array([x.tobytes() for x in few], pa.binary())], ["doc_id", "component", "heads", "few"])
+
+    return reps.select("doc_id", "component", "sig").mapInArrow(run, "doc_id long, component long, heads array<long>, few binary")
+
+
+def _meetings(known: DataFrame, p: Forest) -> DataFrame:
+    """Rows of `known` dealt to groups: a block of a region's rows outside its largest component by a block of its rows."""
+    heads = known.select("doc_id", "component", F.posexplode("heads").alias("tree", "head"))
+    sizes = heads.groupBy("tree", "head", "component").agg(F.count(F.lit(1)).alias("n"))
+    regions = sizes.groupBy("tree", "head").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    most = F.col("main.n")
+    regions = materialize(regions.select("tree", "head", F.col("main.component").alias("main"), F.ceil(F.col("n") / p.block).cast("int").alias("nj"), F.ceil((F.col("n") - most) / p.block).cast("int").alias("ni")), "near-regions")
+    placed = heads.join(regions, ["tree", "head"]).withColumn("outside", F.col("component") != F.col("main"))
+    own = F.xxhash64("doc_id")
+    columns = ["doc_id", "component", "outside", "tree", "head"]
+    asks = placed.where("outside").select(*columns, F.lit(True).alias("asks"), F.pmod(own, "ni").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
+    rows = placed.select(*columns, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(own, "nj").cast("int").alias("j"))
+    return asks.unionByName(rows).join(known.select("doc_id", "heads", "few").hint("merge"), "doc_id")
+
+
+def rest(known: DataFrame, docs: DataFrame, p: Forest) -> DataFrame:
+    """Links (a, b) between different components of `known` (doc_id, component, heads, few), from all regions of all trees."""
+    import zstandard
+
+    least = p.percent / 100 - p.doubt
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            asks = group.column("asks").to_numpy()
+            if asks.all() or not asks.any():
+                continue
+            tree = group.column("tree")[0].as_py()
+            ids, part, outside = (group.column(c).to_numpy() for c in ("doc_id", "component", "outside"))
+            heads = np.array(group.column("heads").to_pylist(), np.int64)[:, :tree]
+            few = np.frombuffer(b"".join(group.column("few").to_pylist()), np.uint8).reshape(len(ids), -1)
+            rows, meets, wanted = np.flatnonzero(~asks), {}, set()
+            for s in np.flatnonzero(asks):
+                r = rows[(part[rows] != part[s]) & ~(outside[rows] & (ids[rows] < ids[s]))]
+                r = r[~(heads[r] == heads[s]).any(1)]
+                r = r[_agree(few[r], few[s][None]) >= least]
+                if len(r):
+                    meets[int(ids[s])] = (int(part[s]), ids[r].tolist())
+                    wanted.update(zip(ids[r].tolist(), part[r].tolist(), strict=True))
+            if not meets:
+                continue
+            out = [(d, c, m) for d, (c, m) in meets.items()] + [(d, c, []) for d, c in wanted if d not in meets]
+            key = [pa.array(np.full(len(out), group.column(c)[0].as_py()), t) for c, t in zip(GROUP, (pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.record_batch([*key, *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True))], [*GROUP, "doc_id", "component", "meets"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for group in _groups(batches):
+            ids = group.column("doc_id").to_pylist()
+            part = dict(zip(ids, group.column("component").to_pylist(), strict=True))
+            texts = dict(zip(ids, group.column("z").to_pylist(), strict=True))
+            sets: dict[int, np.ndarray] = {}
+            above: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while above.setdefault(c, c) != c:
+                    above[c] = c = above[above[c]]
+                return c
+
+            def full(d: int) -> np.ndarray:
+                if d not in sets:
+                    sets[d] = _sets(pa.array([z.decompress(texts[d]).decode()], pa.large_string()), p.k)[0]
+                return sets[d]
+
+            found = []
+            for a, meets in zip(ids, group.column("meets").to_pylist(), strict=True):
+                for b in meets:
+                    if top(part[a]) == top(part[b]):
+                        continue  # joined by links of this group that are confirmed already
+                    x, y = full(a), full(b)
+                    if p.percent * max(len(x), len(y)) > 100 * min(len(x), len(y)):
+                        continue
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= p.percent * (len(x) + len(y) - both):
+                        found.append((min(a, b), max(a, b)))
+                        above[top(part[a])] = top(part[b])
+            if found:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    dealt = _meetings(known, p).repartition(*GROUP).sortWithinPartitions(*GROUP)
+    meets = materialize(dealt.mapInArrow(pick, f"{GROUP_TYPES}, doc_id long, component long, meets array<long>"), "near-meets")
+    texts = packed(docs).join(meets.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    links = meets.join(texts.hint("merge"), "doc_id").repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(check, "a long, b long")
+    found = materialize(links.distinct(), "near-rest")
+    forget(meets)
+    return found
+
+
 def near_duplicates(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
 
@@ -250,9 +386,12 @@ def near_duplicates(docs: DataFrame, p: Forest = Forest()) -> DataFrame:
     reps = sigs.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     pairs = materialize(neighbours(tree_rows(reps, p), p).distinct(), "near-pairs")
     links = confirmed(pairs, docs, p)
-    labels = connected(links)
+    known = reps.join(connected(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    known = materialize(profiles(known, p), "near-known")
+    more = rest(known, docs, p)
+    labels = connected(links.unionByName(more))
     classes = materialize(sets.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id")), "near-classes")
-    forget(pairs, links, sets)
+    forget(pairs, links, known, more, sets)
     out = sigs.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
     none = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(none, F.col("doc_id")).otherwise(F.col("component_id"))
