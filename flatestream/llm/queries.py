@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html_extraction, language_id, line_dedup, masked_lm, media, mixing, quality_lm, sharding
-from .common import table
+from .common import materialize, table
 from .near_dedup import Forest, near_duplicates
 
 
@@ -45,6 +45,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8_line_dedup leaves, without its repeated runs of 50 words."""
+    docs = materialize(line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")), "without-lines")
+    return line_dedup.dedup_passages(docs)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
+    "op8_passage_dedup": op8_passage_dedup,
     "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
 }

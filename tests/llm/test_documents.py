@@ -269,6 +269,38 @@ def test_line_dedup(spark):
     assert got == sorted(want)
 
 
+def test_passage_dedup(spark):
+    rng = random.Random(8)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"w{next(fresh)}" if rng.random() < 0.5 else rng.choice("abcde") for _ in range(n)]
+    long, edge, short, base = new(81), new(50), new(34), new(120)
+    rows = [(0, " ".join(new(30) + long + new(30)), None, None), (1, " ".join(edge), None, None), (2, " ".join(short), None, None), (3, " ".join(base), None, None)]
+    rows += [(10, "  one two " + " ".join(long) + "\tend\n", None, None), (11, "\n".join(edge), None, None), (12, " ".join(short), None, None), (13, None, None, None), (14, "", None, None), (15, " \n", None, None)]
+    rows += [(16, "\n ".join(" ".join(base[i : i + 7]) for i in range(0, 120, 7)), None, None), (17, " ".join(base[20:75] + new(9) + base[60:115]), None, None), (18, " ".join(["z"] * 90), None, None), (1, " ".join(edge), None, None)]
+    for i in range(20, 50):
+        at = rng.randrange(60)
+        rows.append((i, " ".join(new(rng.randrange(20)) + base[at : at + rng.randrange(60)] + new(rng.randrange(60)) + long[:55]), None, None))
+    found = line_dedup.dedup_passages(frame(spark, rows)).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(rows) and sum(r.doc_id == 1 and r.n_words_removed == 0 and r.text == " ".join(edge) for r in found) == 2
+    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    earlier, passages = set(), set()
+    for d, t, *_ in sorted({(r[0], r[1]) for r in rows}, key=lambda r: r[0]):
+        left, w = got[d].text, (t or "").split()
+        assert (left is None) == (t is None) and got[d].n_words == len(w) and len((left or "").split()) == len(w) - got[d].n_words_removed
+        assert not runs((left or "").split(), 50) & earlier
+        if d != 18:  # no passage within itself: what goes lies in repeated runs of 35 words
+            covered = {j for i in range(len(w) - 34) if tuple(w[i : i + 35]) in passages for j in range(i, i + 35)}
+            assert got[d].n_words_removed <= len(covered)
+            kept = iter(w)
+            assert all(x in kept for x in (left or "").split())
+        earlier |= runs(w, 50)
+        passages |= runs(w, 35)
+    assert got[12].text == rows[6][1] and got[14].text == "" and got[15].text == " \n" and got[10].text.startswith("  one two ") and got[10].text.endswith("\tend\n")
+    assert got[10].n_words_removed > 81 - 30 and got[11].n_words_removed >= 35 and got[16].n_words_removed >= 90 and got[17].n_words_removed > 50
+    assert all(r.n_removed == 0 for r in line_dedup.dedup_lines(frame(spark, [r for r in rows if r[0] in (0, 1, 10)])).collect())  # three-line windows find none of these
+
+
 def test_pfair_mix(spark):
     rows = [(i, f"t{i}", "en", s) for i, s in enumerate(["src0"] * 170 + ["src1"] * 30 + ["src2"] * 5 + ["else"] * 9 + [None] * 4)] + [(1, "t1", "en", "src0")]
     weights = {"src0": 5, "src1": 2, "src2": 3, "src9": 4}
