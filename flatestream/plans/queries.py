@@ -96,6 +96,11 @@ def decoded_digest(spark: SparkSession, d: str) -> DataFrame:
     return one.select("file_id", F.sha2("bytes", 256).alias("sha256"))
 
 
+@query("SELECT doc_id::VARCHAR AS file_id, sha256(encode(coalesce(text, ''))) AS sha256 FROM documents")
+def decoded_digest_whole(spark: SparkSession, d: str) -> DataFrame:
+    return archives.digest_table(files_of(spark, d), "gzip")
+
+
 @query()
 def crc32_combined(spark: SparkSession, d: str) -> DataFrame:
     """Combined from chunks; agree compares it with the CRC-32 of the whole text."""
@@ -294,7 +299,7 @@ def three_medians(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_bound(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "supplier").select((F.col("s_acctbal") / 5000).alias("ratio")).orderBy("ratio").limit(25)
+    rows = table(spark, d, "supplier").select((F.col("s_acctbal") / 5000).alias("ratio"))
     return statistics.bootstrap_median_upper(rows, "ratio", iterations=2000)
 
 
@@ -379,6 +384,14 @@ def os_flag_lookup(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", c.lookup(F.col("p_size") % 15, c.OPERATING_SYSTEMS).alias("os"), c.lookup(F.col("p_size") % 5, c.EXTRA_FLAGS).alias("xfl"))
 
 
+@query("""SELECT p_partkey, CASE p_size % 15 WHEN 0 THEN 'FAT filesystem (MS-DOS, OS/2, NT/Win32)' WHEN 1 THEN 'Amiga' WHEN 2 THEN 'VMS (or OpenVMS)' WHEN 3 THEN 'Unix' WHEN 4 THEN 'VM/CMS' WHEN 5 THEN 'Atari TOS' WHEN 6 THEN 'HPFS filesystem (OS/2, NT)'
+WHEN 7 THEN 'Macintosh' WHEN 8 THEN 'Z-System' WHEN 9 THEN 'CP/M' WHEN 10 THEN 'TOPS-20' WHEN 11 THEN 'NTFS filesystem (NT)' WHEN 12 THEN 'QDOS' WHEN 13 THEN 'Acorn RISCOS' WHEN 14 THEN 'undefined (14)' END AS os,
+CASE p_size % 5 WHEN 0 THEN 'none' WHEN 2 THEN 'compressor used maximum compression, slowest algorithm' WHEN 4 THEN 'compressor used fastest algorithm' ELSE printf('undefined (%d)', p_size % 5) END AS xfl FROM part""")
+def os_flag_lookup_whole(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part")
+    return rows.select("p_partkey", c.lookup(F.col("p_size") % 15, c.OPERATING_SYSTEMS).alias("os"), c.lookup(F.col("p_size") % 5, c.EXTRA_FLAGS).alias("xfl"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'finished' WHEN event_id % 7 = 0 THEN 'consumer_bound' WHEN user_id % 3 <> 0 AND event_id % 5 >= event_id % 4 THEN 'decoder_bound' WHEN event_id % 2 = 0 THEN 'converged' WHEN event_id % 5 = 0 AND user_id % 3 = 0 THEN 'idle' ELSE 'starting' END AS pressure, least(greatest(event_id % 9, 2), 6)::BIGINT AS workers FROM events")
 def pressure_classification(spark: SparkSession, d: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
@@ -393,6 +406,12 @@ def text_cleaning(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", c.markdown_cell(t).alias("cell"), c.sanitized(t).alias("clean"), c.output_path(path).alias("target"))
 
 
+@query("SELECT doc_id, replace(replace(replace(text, '|', '\\|'), chr(10), ' '), chr(13), ' ') AS cell, replace(replace(replace(text, chr(9), ' '), chr(10), ' '), chr(13), ' ') AS clean, 'a/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '.txt.out' END AS target FROM documents")
+def text_cleaning_whole(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".GZ").otherwise(".txt"))
+    return table(spark, d, "documents").select("doc_id", c.markdown_cell(F.col("text")).alias("cell"), c.sanitized(F.col("text")).alias("clean"), c.output_path(path).alias("target"))
+
+
 @query("SELECT o_orderkey, greatest(1 + o_orderkey % 40, 1)::BIGINT AS workers, CASE WHEN 1 + o_orderkey % 40 <= 4 THEN 1 + o_orderkey % 40 ELSE least(1 + o_orderkey % 40, ceil(sqrt(4 * (1 + o_orderkey % 40))))::BIGINT END AS bootstrap, (1 + o_orderkey % 40) >= 2 AND o_custkey % 100 >= 16 AND o_custkey % 100 >= 2 * (1 + o_orderkey % 40) AS probe, greatest(least(1048576, ceil(o_custkey * 1000.0 / greatest(2 * (1 + o_orderkey % 40), 1)))::BIGINT, 32768) AS span, CASE WHEN o_custkey <= 4096 THEN 4 ELSE 1 END AS members FROM orders")
 def admission_rules(spark: SparkSession, d: str) -> DataFrame:
     w = 1 + F.col("o_orderkey") % 40

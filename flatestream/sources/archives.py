@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -79,6 +80,25 @@ def chunk_table(files: DataFrame, format: str = "auto", chunk: int = CHUNK) -> D
     return files.select("file_id", "content").mapInArrow(run, schema.CHUNKS)
 
 
+def digest_table(files: DataFrame, format: str = "auto", chunk: int = CHUNK) -> DataFrame:
+    """file_id, sha256: of each file's whole decoded output, streamed through one state. Raises at a fault."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for file_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                state = hashlib.sha256()
+                try:
+                    for _, data in members(content.as_py() or b"", format, chunk):
+                        state.update(data or b"")
+                except Malformed as e:
+                    raise ValueError(f"{file_id}: {e}") from e
+                found.append(state.hexdigest())
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.string())], ["file_id", "sha256"])
+
+    return files.select("file_id", "content").mapInArrow(run, "file_id string, sha256 string")
+
+
 def line_table(files: DataFrame, format: str = "auto") -> DataFrame:
     """file_id, line, byte_offset, terminated, text (binary, without \\n): a line ends at \\n only; an unterminated last one is a row but no line break."""
 
