@@ -163,6 +163,18 @@ def test_kneser_ney_sums_to_one_and_matches_counts(spark):
     assert sizes.tolist() == [11, 4, 1, 0] and logs[3] == 0 and (logs[:3] < 0).all()
 
 
+def test_quality_thresholds_cover_all_trusted(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(prose(rng, 30)), "en" if i % 25 else "xx", "s") for i in range(200)] + [(300, "abc", "xx", "s"), (None, "abc", "xx", "s")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    fitted = {r.doc_id for r in quality_lm.fitted_ids(quality_lm.trusted_ids(labels), 10).collect()}
+    got = quality_lm.quality(frame(spark, rows), labels, bound=10, quantile=1.0).collect()
+    assert 0 < len(fitted) <= 10 and len(got) == len(rows)
+    for lang in ("en", "xx"):
+        most = max(r.perplexity for r in got if r.lang == lang and r.doc_id is not None and r.doc_id < 200 and r.doc_id not in fitted)
+        assert all(r.threshold == pytest.approx(1.25 * most) for r in got if r.lang == lang)
+
+
 def test_quality(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(prose(rng, 60)), "en", "s") for i in range(60)] + [(60 + i, " ".join(f"%$#{rng.randrange(999)}!" for _ in range(60)), "en", "s") for i in range(5)] + [(70, None, "en", None), (71, "", None, None), (72, rows_text(rng), None, None)]
