@@ -10,8 +10,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from flatestream.llm import decontamination, language_id, line_dedup, masked_lm, media, mixing, quality_lm, sharding
+from flatestream.llm import decontamination, language_id, line_dedup, masked_lm, media, mixing, near_dedup, quality_lm, sharding
 from flatestream.llm.near_dedup import Forest, near_duplicates
 from flatestream.llm.wordhash import blocks, shingles, words
 
@@ -107,6 +108,61 @@ def test_near_duplicates_large_group_and_odd_rows(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 
 
+def template_pages(rng, n, groups):
+    """Pages on one template (about half of each page), unlinked; some of them once more with a few edits."""
+    shell = [f"t{i}" for i in range(60)]
+    rows, links = [], []
+    for i in range(n):
+        rows.append((i, " ".join(shell + [f"w{rng.randrange(10**9)}" for _ in range(45)]), "en", "s"))
+    for j in range(groups):
+        own = rows[rng.randrange(n)]
+        w = own[1].split()
+        w[60 + rng.randrange(45)] = "edited"
+        rows.append((n + j, " ".join(w), "en", "s"))
+        links.append((own[0], n + j))
+    return rows, links
+
+
+def test_dense_region_of_unlinked_rows(spark):
+    """5,000 pages that share half of their shingles: every region is dense, and the descent splits it; no link may be lost."""
+    rows, links = template_pages(random.Random(12), 5000, 60)
+    forest = Forest(k=4, block=4, small=4, near=1, hubs=1, region_rows=500)
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows), forest).collect()}
+    want = {i: i for i in range(len(rows))}
+    for a, b in sorted(links):
+        want[b] = a
+    assert got == {i: want[want[i]] for i in want}
+    known = near_dedup.profiles(near_dedup.signatures(frame(spark, rows), forest).withColumn("component", F.col("doc_id")), forest)
+    groups = near_dedup.descent(known, forest)[0].groupBy(*near_dedup.GROUP).agg(F.count_if("asks").alias("asks"), F.count_if(~F.col("asks")).alias("rows")).agg(F.max("asks"), F.max("rows"), F.sum("rows")).first()
+    assert groups[0] <= 4 * 5 and groups[1] <= 4 * 5 and groups[2] < 100 * len(rows)  # no group holds a region, and no all-by-all
+
+
+def test_recall_against_all_rows(spark):
+    """Every link of the given documents, found by brute force over shared shingles, is within a component."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: brute_shingles(r.text, 4) for r in docs.collect()}
+    where = {}
+    for d, own in texts.items():
+        for g in own:
+            where.setdefault(g, []).append(d)
+    component = {r.doc_id: r.component_id for r in near_duplicates(docs, Forest(k=4)).collect()}
+    links = []
+    for d in texts:
+        shared = Counter(o for g in texts[d] for o in where[g] if o != d)
+        links += [(d, o) for o, n in shared.items() if 100 * n >= 80 * (len(texts[d]) + len(texts[o]) - n)]
+    assert len(links) > 100 and all(component[a] == component[b] for a, b in links)
+
+
+def test_one_doc_id_with_two_texts(spark):
+    rng = random.Random(13)
+    a, b = prose(rng, 90), prose(rng, 90)
+    rows = [(5, " ".join(a), None, None), (5, " ".join(b), None, None), (7, " ".join(a), None, None), (8, " ".join(b), None, None), (9, " ".join(prose(rng, 90)), None, None)]
+    for _ in range(2):
+        got = sorted((r.doc_id, r.component_id) for r in near_duplicates(frame(spark, rows)).collect())
+        assert got == [(5, 5), (5, 5), (7, 5), (8, 5), (9, 9)]
+        rows.reverse()
+
+
 def test_media(spark, corpus):
     rows = [*corpus, (None, "x" * 64, None, None), (3, corpus[3][1], None, None), (3, corpus[3][1], None, None)]
     docs = frame(spark, rows)
@@ -190,25 +246,69 @@ def rows_text(rng):
 
 
 def test_masked_lm(spark, corpus):
-    docs = frame(spark, [*corpus, (None, "a b", None, None)])
-    frequent = masked_lm.vocabulary(docs)
-    flat = masked_lm.train(docs, frequent, share=2)
-    got = {r.doc_id: r for r in masked_lm.score(docs, frequent, flat).collect()}
-    net = masked_lm.Window(flat)
-    for i, t, *_ in corpus[:30]:
-        for _, _, data, offsets in blocks(pa.array([t], pa.string())):
-            hashes, first = words(data, offsets)
-            own = masked_lm._classes(hashes, frequent)
-            around = [[own[j + d] if 0 <= j + d < len(own) else masked_lm.CLASSES for d in (-2, -1, 1, 2)] for j in range(len(own))]
-            want = sum(float(net.log_probability(np.array([a]), np.array([c]))[0]) for a, c in zip(around, own))
-            assert got[i].n_tokens == len(own) and abs(got[i].pll - want) < 1e-2
-    start = {r.doc_id: r.pll for r in masked_lm.score(docs, frequent, masked_lm.Window.start()).collect()}
-    assert sum(r.pll for r in got.values()) > sum(start.values())
-    empty = [r for r in got.values() if not r.n_tokens]
+    """Against a forward pass word by word in plain Python, with counts from collections.Counter."""
+    docs = frame(spark, [*corpus, (None, "a b", None, None), (2, corpus[2][1], None, None)])
+    known = masked_lm.lexicon(docs, hot_words=50)
+    flat = masked_lm.train(docs, known.frequent)
+    found = masked_lm.score(docs, known, flat).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(corpus) + 2 and len({round(r.pll, 6) for r in found if r.doc_id == 2}) == 1
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    code = lambda w: int(words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0].view(np.int64)[0])
+    hashed = {w: code(w) for _, t, *_ in [*corpus, (0, "a b")] for w in split(t)}
+    own = {h: i for i, h in enumerate(known.frequent.tolist())}
+    class_of = {w: own.get(h, masked_lm.FREQUENT + ((h % 2**64) >> 40) % masked_lm.HASHED) for w, h in hashed.items()}
+    counts = Counter(w for t in [*(r[1] for r in corpus), "a b", corpus[2][1]] for w in split(t))
+    totals = Counter()
+    for w, n in counts.items():
+        totals[class_of[w]] += n
+    shapes, at = [], 0
+    for s in masked_lm.SHAPES:
+        shapes.append(flat[at : at + int(np.prod(s))].reshape(s))
+        at += int(np.prod(s))
+    e, w1, b1, w2, b2 = shapes
+    for i, t, *_ in corpus[:40]:
+        w, want = split(t), 0.0
+        for j, x in enumerate(w):
+            around = [class_of[w[j + d]] if 0 <= j + d < len(w) else masked_lm.CLASSES for d in (-2, -1, 1, 2)]
+            z = np.tanh(np.concatenate([e[a] for a in around]) @ w1 + b1) @ w2 + b2
+            p = np.exp(z - z.max())
+            want += np.log(p[class_of[x]] / p.sum())
+            if class_of[x] >= masked_lm.FREQUENT:
+                want += np.log(counts[x] / (totals[class_of[x]] + 1))
+        assert got[i].n_tokens == len(w) and abs(got[i].pll - want) < 1e-3 * max(1, len(w))
+    start = masked_lm.score(docs, known, masked_lm.Window.start()).agg(F.sum("pll")).first()[0]
+    assert sum(r.pll for r in found) > start
+    empty = [r for r in found if not r.n_tokens]
     assert empty and all(r.pll == 0 and r.mean_pll is None for r in empty)
     assert masked_lm.masked_scores(frame(spark, [])).count() == 0
 
 
+def test_masked_lm_learns_from_every_document(spark):
+    """Words that occur in two documents have a greater probability than those of one, however rare: the counts cover all texts."""
+    rng = random.Random(14)
+    new = lambda: " ".join(f"z{rng.randrange(10**12)}" for _ in range(40))
+    rows = [(i, new(), "en", "s") for i in range(300)]
+    rows += [(300 + i, rows[i][1], "en", "s") for i in range(20)]
+    got = {r.doc_id: r.mean_pll for r in masked_lm.masked_scores(frame(spark, rows)).collect()}
+    twice = [got[i] for i in [*range(20), *range(300, 320)]]
+    assert min(twice) > max(got[i] for i in range(20, 300)) - 0.2 and np.mean(twice) > np.mean([got[i] for i in range(20, 300)]) + 0.5
+
+
+def test_network_parts_of_the_vocabulary(spark):
+    """A small language has words with own classes too; the hot and the joined counts give the same scores."""
+    rng = random.Random(15)
+    rows = [(i, " ".join(prose(rng, 200, "abcde")), "en", "s") for i in range(60)] + [(99, " ".join(prose(rng, 50, "xyz") * 3), "xx", "s")]
+    docs = frame(spark, rows)
+    known = masked_lm.lexicon(docs)
+    code = lambda w: int(words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0].view(np.int64)[0])
+    assert {code(w) for w in rows[-1][1].split()} & set(known.frequent.tolist())
+    one = {r.doc_id: r.pll for r in masked_lm.score(docs, known, masked_lm.Window.start()).collect()}
+    for hot in (1, 7):
+        two = {r.doc_id: r.pll for r in masked_lm.score(docs, masked_lm.lexicon(docs, hot_words=hot), masked_lm.Window.start()).collect()}
+        assert one == pytest.approx(two)
+
+
 def test_language_profiles(spark):
     rng = random.Random(5)
     alphabets = {"aa": "abcdefg", "bb": "hijklmn", "cc": "éèçàabc"}
