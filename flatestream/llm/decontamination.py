@@ -84,9 +84,10 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that contain no item, with all their columns. Rows with a null doc_id are kept."""
-    found = contained_items(docs, benchmark, k, percent).select("doc_id").distinct()
-    return docs.join(materialize(found, "leaks"), "doc_id", "left_anti")
+    """The rows of docs whose text contains no item, with all their columns; each row by its own text, whatever its doc_id, null too."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("text"))
+    found = contained_items(docs.select(key.alias("doc_id"), "text"), benchmark, k, percent).select(F.col("doc_id").alias("_key")).distinct()
+    return docs.withColumn("_key", key).join(materialize(found, "leaks"), "_key", "left_anti").drop("_key")
 
 
 def sql(k: int = 5, percent: int = 80) -> str:

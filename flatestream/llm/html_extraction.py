@@ -10,6 +10,7 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +24,22 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style iframe noembed noframes xmp template svg math object canvas audio video textarea".split())
+RAW = frozenset("script style iframe noembed noframes xmp textarea".split())
 CLOSES_P = BLOCK - {"button", "caption", "legend", "option", "optgroup"}
 SELF_NESTING = {"li": {"ul", "ol", "menu", "dir"}, "dd": {"dl"}, "dt": {"dl"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tr": {"table"}, "option": {"select"}}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>", re.S)
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+SAME = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}
+DEEPEST = 256  # block elements nested deeper are read as if they stood side by side, as browsers do
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
+NAMES = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
+LONG_REFERENCE = re.compile(r"&#(?:[xX]0*([0-9a-fA-F]*)|0*([0-9]*));?")
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+# What boilerplate says, whatever its class names; these are features, the field weighs them.
+SAYS = re.compile(
+    r"\b(copyright|all rights reserved|privacy|terms|cookies?|consent|subscribe|newsletter|sign up|log in|login|register|posted by|written by|repl(?:y|ies)|comments?|share|follow us|read more|related|advertisement|sponsored|great post|thanks for|search|menu|home|contact|previous|next|tags?)\b", re.I
+)
 
 
 @dataclass(slots=True)
@@ -40,11 +50,25 @@ class Block:
     linked: int
 
 
-def leaf_blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order, with references decoded and white space folded; blocks without text are left out."""
+def unescaped(text: str) -> str:
+    """Character references decoded; numbers of many digits, which name no character, give U+FFFD."""
+    if "&#" in text:
+        text = LONG_REFERENCE.sub(lambda m: "\ufffd" if len(m[1] or m[2] or "") > 7 else m[0], text)
+    return html_lib.unescape(text) if "&" in text else text
+
+
+def leaf_blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]:
+    """Leaf blocks in page order, with references decoded and white space folded; blocks without text are left out.
+
+    A block's tags are its innermost one, then the distinct ones around it; its words are those of the class, id and role of all
+    elements around it (of `known` ones only, where given). One pass: no place of the page is read more than a bounded number of times.
+    Script, style, iframe, noembed, noframes, xmp and textarea are left out up to their end tag (or the page's end); all other
+    elements are read, and their text is for the field to judge. Where a quote in a tag never closes, tags end at the next >.
+    """
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
+    opened, around, flat = Counter(), Counter(), Counter()
     parts: list[str] = []
     links, linked = 0, 0
 
@@ -53,30 +77,70 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                words = frozenset().union(*(w for _, w in stack)) if stack else frozenset()
-                out.append(Block(text, tuple(t for t, _ in stack), words, min(linked, len(text))))
+                out.append(Block(text, ((stack[-1][0],) if stack else ()) + tuple(sorted(opened)), frozenset(around), min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def read(text: str) -> None:
         nonlocal linked
         if text:
-            text = html_lib.unescape(text) if "&" in text else text
+            text = unescaped(text)
             parts.append(text)
             linked += len(text) if links else 0
 
-    at = 0
-    while m := TAG.search(page, at):
-        read(page[at : m.start()])
-        at = m.end()
-        closing, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
+    def pop() -> None:
+        name, names = stack.pop()
+        for counter, gone in ((opened, (name,)), (around, names)):
+            for x in gone:
+                counter[x] -= 1
+                if not counter[x]:
+                    del counter[x]
+
+    def close(names: tuple[str, ...], walls: frozenset[str] | set[str] = frozenset()) -> None:
+        """Pop the innermost element of `names` and what it holds, unless one of `walls` comes first."""
+        if not any(n in opened for n in names):
+            return
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in walls:
+                return
+            if stack[i][0] in names:
+                while len(stack) > i:
+                    pop()
+                return
+
+    at, text_from, quotes = 0, 0, True
+    last = page.rfind(">")
+    while (at := page.find("<", at)) >= 0 and at < last:
+        begin = at
+        at += 1
+        if page.startswith("!--", at):
+            read(page[text_from:begin])
+            end = page.find("-->", at + 3)
+            at = text_from = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith("![CDATA[", at):
+            read(page[text_from:begin])
+            end = page.find("]]>", at)
+            at = text_from = end + 3 if end >= 0 else len(page)
             continue
-        name = name.lower()
-        if name in RAW and not closing:
-            if not rest.endswith("/"):
-                end = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+        if page.startswith(("!", "?"), at):
+            read(page[text_from:begin])
+            at = text_from = page.find(">", at) + 1
+            continue
+        closing = page.startswith("/", at)
+        m = NAME.match(page, at + closing)
+        if not m:
+            continue
+        end = QUOTED.match(page, m.end()) if quotes else None
+        if not end:
+            quotes = False
+        read(page[text_from:begin])
+        at = text_from = end.end() if end else page.find(">", m.end()) + 1
+        name, rest = m[0].lower(), page[m.end() : at - 1]
+        if name in RAW:
+            if not closing:
+                end = RAW_END[name].search(page, at)
+                at = text_from = end.end() if end else len(page)
             continue
         if name == "a":
             links = 0 if closing else 1
@@ -87,24 +151,27 @@ def leaf_blocks(page: str | None) -> list[Block]:
         flush()
         links = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if flat[name]:
+                flat[name] -= 1
+            else:
+                close((name,))
             continue
         if name in CLOSES_P and stack and stack[-1][0] == "p":
-            stack.pop()
+            pop()
         if name in SELF_NESTING:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SELF_NESTING[name]:
-                    break
-                if stack[i][0] == name or name in ("dd", "dt") and stack[i][0] in ("dd", "dt") or name in ("td", "th") and stack[i][0] in ("td", "th"):
-                    del stack[i:]
-                    break
-        if name not in VOID:
-            found = " ".join(a or b or c for a, b, c in NAMES.findall(rest)) if "=" in rest else ""
-            stack.append((name, frozenset(w.lower() for w in WORD.findall(found)) if found else frozenset()))
-    read(page[at:])
+            close(SAME.get(name, (name,)), SELF_NESTING[name])
+        if name in VOID:
+            continue
+        if len(stack) >= DEEPEST:
+            flat[name] += 1
+            continue
+        found = " ".join(a or b or c for a, b, c in NAMES.findall(rest)) if "=" in rest else ""
+        names = frozenset(w.lower() for w in WORD.findall(found)) if found else frozenset()
+        names = names if known is None else names & known
+        stack.append((name, names))
+        opened[name] += 1
+        around.update(names)
+    read(page[text_from:])
     flush()
     return out
 
@@ -113,8 +180,9 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
     found = []
     for i, b in enumerate(blocks):
         n, share = len(b.text), b.linked / len(b.text)
-        f = ["bias", f"leaf={b.tags[-1] if b.tags else '-'}", f"length={min(6, n.bit_length() // 2)}", f"linked={0 if share == 0 else 1 if share < 0.5 else 2}", f"first={i == 0}"]
-        f += [f"in={t}" for t in set(b.tags)] + [f"word={w}" for w in b.words]
+        f = ["bias", f"leaf={b.tags[0] if b.tags else '-'}", f"length={min(6, n.bit_length() // 2)}", f"linked={0 if share == 0 else 1 if share < 0.5 else 2}", f"first={i == 0}"]
+        f += [f"in={t}" for t in set(b.tags)] + [f"word={w}" for w in sorted(b.words)]
+        f += sorted({f"says={w.lower()}" for w in SAYS.findall(b.text[:400])}) if n < 400 else []
         f += [f"last={b.text[-1] if b.text[-1] in '.!?:;,…' else 'letter'}", f"sign={any(c in b.text for c in '©®™')}", f"spaces={min(3, b.text.count(' '))}"]
         found.append(f)
     return found
@@ -126,6 +194,7 @@ class ChainField:
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray, start: np.ndarray):
         self.move, self.start = move, start
         self.weights = {x: tuple(emit[i].tolist()) for x, i in names.items()}
+        self.words = frozenset(x[5:] for x in names if x.startswith("word="))
 
     def scores(self, blocks: list[Block]) -> list[tuple[float, float]]:
         out = []
@@ -196,6 +265,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[list[Bl
     """Pages of many layouts with their labels: the generator marks what belongs to the article."""
     rng = random.Random(seed)
     mark = "\x01"
+    named = {"alert", "dialog"}  # class words with a meaning; others are no features
     syllables = "an be da en for ge hi in ka lo mu ne or pa que ra so ti un ver wa xi za the and was".split()
 
     def words(low: int, high: int) -> str:
@@ -209,23 +279,33 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[list[Bl
         return f"<{head}>{inner}</{head.split()[0]}>"
 
     def classed(tag: str, names: str) -> list[str]:
-        return [f'{tag} {rng.choice(["class", "id"])}="{x}"' for x in names.split()]
+        """A tag with one of the class names, or with one that says nothing, or none."""
+        k = len(names.split())
+        named.update(names.split())
+        return [f'{tag} {rng.choice(["class", "id"])}="{x}"' for x in names.split()] + [f'{tag} class="{unknown()}"'] * (1 + k // 4) + [tag] * (k // 6)
+
+    def unknown() -> str:
+        return rng.choice([f"c{rng.randrange(99)}", words(1, 1) + str(rng.randrange(9)), "".join(rng.choices("bcdfghjklmnpqrstvwx", k=3)), f"box-{rng.randrange(9)}"])
+
+    def says(*phrases: str) -> str:
+        return rng.choice(phrases) + rng.choice(["", " " + words(1, 5), " " + words(1, 3) + "."])
 
     def menu() -> str:
         items = "".join(f'<li><a href="/{words(1, 1)}">{words(1, 3)}</a></li>' for _ in range(rng.randint(2, 9)))
         return wrap(["nav", *classed("div", "nav menu navbar breadcrumb breadcrumbs navigation")], f"<ul>{items}</ul>")
 
     def advert() -> str:
-        return wrap([*classed("div", "ad ads advert advertisement sponsored promo banner"), 'aside class="ad"'], rng.choice([f"<p>{sentence(3, 30)}</p>", sentence(3, 30), f'<a href="#">{words(2, 8)}</a>']))
+        return wrap([*classed("div", "ad ads advert advertisement sponsored promo banner"), 'aside class="ad"'], rng.choice([f"<p>{sentence(3, 30)}</p>", sentence(3, 30), f'<a href="#">{words(2, 8)}</a>', f"<p>{says('Advertisement', 'Sponsored')}</p>"]))
 
     def notice() -> str:
-        return wrap([*classed("div", "cookie cookies consent notice newsletter subscribe popup banner gdpr alert"), 'div role="alert"', 'div role="dialog"'], f"<p>{sentence(4, 30)}</p>" + rng.choice(["", "<button>OK</button>"]))
+        return wrap([*classed("div", "cookie cookies consent notice newsletter subscribe popup banner gdpr alert"), 'div role="alert"', 'div role="dialog"'], rng.choice([f"<p>{sentence(4, 30)}</p>", f"<p>{says('We use cookies', 'Subscribe to our newsletter', 'Your privacy', 'By using this site you consent to cookies', 'Sign up')}</p>"]) + rng.choice(["", "<button>OK</button>"]))
 
     def form() -> str:
         return f"<form>{rng.choice(['', '<label>'])}{words(1, 6)}<input name=q><button>{words(1, 2)}</button></form>"
 
     def comments() -> str:
-        inner = "".join(wrap(["p", *classed("div", "comment reply"), "li"], rng.choice(["", f"<p>{words(1, 2)}</p>"]) + f"<p>{sentence(3, 50)}</p>") for _ in range(rng.randint(1, 5)))
+        talk = lambda: rng.choice([sentence(3, 50), sentence(3, 50), says("Great post!", "Thanks for sharing", "I agree,", "Nice comment", "Reply")])
+        inner = "".join(wrap(["p", *classed("div", "comment reply"), "li"], rng.choice(["", f"<p>{words(1, 2)}</p>", f"<p>{says('Posted by', 'Reply', 'Comment by')}</p>"]) + f"<p>{talk()}</p>") for _ in range(rng.randint(1, 5)))
         return wrap([*classed("section", "comments responses discussion"), *classed("div", "comments disqus replies"), 'ol class="comments"'], rng.choice(["", "<h2>Comments</h2>", f"<h3>{words(1, 3)}</h3>"]) + inner)
 
     def sidebar() -> str:
@@ -233,7 +313,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[list[Bl
         return wrap(["aside", *classed("div", "sidebar related widget recommended popular"), *classed("section", "related sidebar")], inner)
 
     def share() -> str:
-        return wrap(classed("div", "share social sharing tags byline meta"), f'<a href="#">{words(1, 2)}</a> <a href="#">{words(1, 2)}</a>')
+        return wrap(classed("div", "share social sharing tags byline meta"), rng.choice([f'<a href="#">{words(1, 2)}</a> <a href="#">{words(1, 2)}</a>', says("Share", "Posted by", "Written by", "Tags", "Follow us")]))
 
     def story() -> str:
         parts = [rng.choice(["", f"<h1>{mark}{words(2, 10)}</h1>", f"<h1>{mark}{sentence(1, 12)}</h1>"])]
@@ -248,18 +328,20 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[list[Bl
             parts.append(rng.choice([comments, share])())
         return wrap(["article", "article", "main", *classed("div", "content article post story entry main text body"), 'section class="story"'], "".join(parts))
 
-    out = []
+    out, made = [], []
     for _ in range(n):
         head = f"<html><head><title>{words(2, 10)}</title><style>p{{}}</style></head><body>"
-        before = [menu()] * (rng.random() < 0.8) + [f"<header><h2>{words(1, 4)}</h2><p>{sentence(2, 9)}</p></header>"] * (rng.random() < 0.4) + [notice()] * (rng.random() < 0.4) + [advert()] * (rng.random() < 0.6) + [form()] * (rng.random() < 0.3)
+        before = [menu()] * (rng.random() < 0.8) + [wrap(["header", "header", *classed("div", "header masthead top")], f"<h2>{words(1, 4)}</h2><p>{sentence(2, 9)}</p>")] * (rng.random() < 0.4) + [notice()] * (rng.random() < 0.4) + [advert()] * (rng.random() < 0.6) + [form()] * (rng.random() < 0.3)
         after = [sidebar()] * (rng.random() < 0.4) + [comments()] * (rng.random() < 0.4) + [advert()] * (rng.random() < 0.3) + [notice()] * (rng.random() < 0.2) + [form()] * (rng.random() < 0.2) + [menu()] * (rng.random() < 0.2)
         rng.shuffle(before)
         rng.shuffle(after)
-        foot = rng.choice([f"<footer>&copy; {words(1, 3)} &middot; {sentence(3, 12)}</footer>", f'<div class="footer"><p>{sentence(3, 12)}</p></div>', f"<footer><p>{sentence(3, 40)}</p></footer>", ""])
+        foot = rng.choice([f"<footer>&copy; {words(1, 3)} &middot; {sentence(3, 12)}</footer>", wrap(classed("div", "footer bottom copyright legal"), f"<p>{says('Copyright 2024', 'All rights reserved', '&copy;', 'Terms and privacy')}</p>"), f'<div class="footer"><p>{sentence(3, 12)}</p></div>', f"<footer><p>{sentence(3, 40)}</p></footer>", ""])
         body = story()
         if rng.random() < 0.2:
             body = f"<main>{body}</main>"
-        blocks = leaf_blocks(head + "".join(before) + body + "".join(after) + foot + "</body></html>")
+        made.append(head + "".join(before) + body + "".join(after) + foot + "</body></html>")
+    for page in made:
+        blocks = leaf_blocks(page, frozenset(named))
         labels = [int(mark in b.text) for b in blocks]
         for b in blocks:
             b.text = b.text.replace(mark, "") or "-"
@@ -276,8 +358,8 @@ def extract(pages: DataFrame, field: ChainField | None = None) -> DataFrame:
     """All columns of pages but html, then text and n_chars (its code points).
 
     The text joins the blocks labelled as article, in page order, by one \\n. A null or empty page, or one without an
-    article block, has the empty text and 0. Unclosed and stray tags, comments and quotes are read as far as they go. Repeated rows stay;
-    columns of pages named text or n_chars are replaced.
+    article block, has the empty text and 0. Unclosed and stray tags, comments and quotes are read as far as they go. An empty table gives no
+    rows. Repeated rows stay; columns of pages named text or n_chars are replaced.
     """
     field = field or train()
     kept = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
@@ -286,7 +368,7 @@ def extract(pages: DataFrame, field: ChainField | None = None) -> DataFrame:
         for batch in batches:
             texts = []
             for page in batch.column("html"):
-                blocks = leaf_blocks(page.as_py())
+                blocks = leaf_blocks(page.as_py(), field.words)
                 texts.append("\n".join(b.text for b, label in zip(blocks, field.viterbi(blocks), strict=True) if label))
             yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*kept, "text", "n_chars"])
 

@@ -131,7 +131,11 @@ def held_out() -> F.Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row. Only rows that aren't held out and have a lang are learned from."""
+    """doc_id, held_out, lang_pred, score for every row. Only rows that aren't held out and have a lang are learned from.
+
+    A null doc_id counts as empty text: it isn't held out. Repeated rows stay and count as often as they occur; equal texts
+    have equal predictions. Texts of any length are read whole. An empty table gives no rows.
+    """
     profiles = fit(docs.where(~held_out()))
     rows = docs.select("doc_id", "text", held_out().alias("held_out"))
     return predict(rows, profiles).select("doc_id", "held_out", "lang_pred", "score")

@@ -26,8 +26,8 @@ UNIT = 64
 RATE = 8000
 LEAST, MEAN_BITS, MOST = 1024, 12, 16384
 GEAR = np.random.default_rng(64).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
-#: A digest with more references than this is joined by (digest, salt), its chunk once for each salt.
-HOT_REFERENCES, SALTS = 256, 32
+#: A digest with more references than this is joined by (digest, salt), its chunk once for each salt, with a salt for each so many references.
+HOT_REFERENCES = 256
 
 
 def digest_of(data: bytes) -> bytes:
@@ -167,10 +167,11 @@ def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array([c], t) for c, t in zip(one(current, parts), types, strict=True)], names)
 
     refs = lists.select("sha", F.posexplode("digests").alias("at", "digest"))
-    hot = materialize(refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_REFERENCES).select("digest"), "hot-digests")
+    salts = F.expr(f"(n + {HOT_REFERENCES - 1}) div {HOT_REFERENCES}").alias("salts")
+    hot = materialize(refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_REFERENCES).select("digest", salts), "hot-digests")
     cold = refs.join(hot, "digest", "left_anti").join(store, "digest").select("sha", "at", "z")
-    salted = refs.join(hot, "digest", "left_semi").withColumn("salt", F.pmod(F.xxhash64("sha"), F.lit(SALTS)))
-    copies = store.join(hot, "digest", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = refs.join(hot, "digest").withColumn("salt", F.pmod(F.xxhash64("sha", "at"), "salts"))
+    copies = store.join(hot, "digest").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     found = cold.unionAll(salted.join(copies, ["digest", "salt"]).select("sha", "at", "z"))
     found = found.repartition("sha").sortWithinPartitions("sha", "at")
     return found.select("sha", "z").mapInArrow(rebuild, "sha binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
@@ -184,8 +185,10 @@ def media(docs: DataFrame) -> DataFrame:
     """
     listed = materialize(manifests(docs), "manifests")
     store, name = write_store(docs)
-    lists = listed.groupBy("sha").agg(F.first("digests").alias("digests"))
-    described = materialize(read_media(lists, store), "media")
-    forget(store)
-    docs.sparkSession.sql(f"DROP TABLE {name}")
+    try:
+        lists = listed.groupBy("sha").agg(F.first("digests").alias("digests"))
+        described = materialize(read_media(lists, store), "media")
+        forget(store)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     return listed.select("doc_id", "n_bytes", "sha").join(described, "sha").drop("sha")

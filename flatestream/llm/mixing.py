@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import bucket_ranks
+from .ranking import bucket_bits, bucket_ranks
 
 OTHER = "(other)"
 WEIGHTS = {"src0": 6} | {f"src{i}": 1 for i in range(1, 20)}
@@ -38,7 +38,7 @@ def _period(weights: Column, total: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0).cast("long"), total - 1), start, slot, lambda s: s["picked"])
 
 
-def pfair_mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, other: int = 1, block_rows: int = 16, seed: str = "mix") -> DataFrame:
+def pfair_mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, other: int = 1, block_rows: int = 16, seed: str = "mix", most_epochs: int | None = None) -> DataFrame:
     """All rows of docs, repeated as the weights demand, with mix_source, epoch, block, position and place.
 
     `weights` names the sources, `other` is the weight of all further sources and null together, as one source "(other)";
@@ -46,10 +46,14 @@ def pfair_mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, other: int
     md5(seed|doc_id), the last one of a source what is left. Every row occurs: the schedule ends when the source
     that is furthest from its target has been used up once, and the others start anew until then (epoch 1, 2, ...).
     position is the block's place in the whole schedule from 0, without gaps; block its place in its source over all epochs; place
-    the row's place in its block. An empty table gives no rows. Columns of docs with these names are replaced.
+    the row's place in its block. So the rows that come out are those of the furthest source times D over its weight, without a bound of their
+    own: a small source of a high weight comes back very often. Where `most_epochs` is given, a source that would start anew more often
+    fails the job instead. `weights` may be empty; a null name is an error. An empty table gives no rows. Columns of docs with these names are replaced.
     """
     if min([other, *weights.values()]) < 1:
         raise ValueError("weights must be 1 or more")
+    if None in weights:
+        raise ValueError("a null source belongs to the others")
     docs = docs.drop("mix_source", "epoch", "block", "position", "place")
     names = list(weights)
     source = F.when(F.col("source").isin(names), F.col("source")).otherwise(F.lit(OTHER)) if names else F.lit(OTHER)
@@ -67,9 +71,12 @@ def pfair_mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, other: int
         F.array_sort(F.collect_list("_slot")).alias("_slots"), F.first("_s._w").alias("_w"), F.first("_s._blocks").alias("_blocks"), F.first("_d").alias("_d"), F.first("_periods").alias("_periods")
     )
     ties = [F.md5(F.col("text").cast("binary"))] if "text" in docs.columns else []
-    ranked = bucket_ranks(rows, ["mix_source"], F.conv(F.substring("_md5", 1, 3), 16, 10).cast("int"), [F.col("_md5"), F.col("doc_id"), *ties], "_r", "_total")
+    digits = -(-bucket_bits(docs) // 4)
+    ranked = bucket_ranks(rows, ["mix_source"], F.conv(F.substring("_md5", 1, digits), 16, 10).cast("long"), [F.col("_md5"), F.col("doc_id"), *ties], "_r", "_total")
     placed = ranked.join(F.broadcast(schedule), "mix_source").withColumn("_own", F.expr(f"_r div {block_rows}"))
     epochs = F.expr("(_periods * _w - 1 - _own) div _blocks")
+    if most_epochs is not None:
+        epochs = F.when(epochs >= most_epochs, F.raise_error(F.concat(F.lit(f"more than {most_epochs} epochs of source "), "mix_source")).cast("long")).otherwise(epochs)
     out = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs))).withColumn("block", F.col("epoch") * F.col("_blocks") + F.col("_own"))
     position = F.expr("(block div _w) * _d + get(_slots, cast(block % _w as int))")
     return out.withColumn("position", position).withColumn("place", F.expr(f"_r % {block_rows}")).select(*docs.columns, "mix_source", "epoch", "block", "position", "place")

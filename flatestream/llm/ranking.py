@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+ROWS = 1 << 16  # of a bucket, about
+
+
+def bucket_bits(rows: DataFrame) -> int:
+    """Bits of a bucket number, so that a bucket of evenly spread rows has about ROWS of them at any size; 12 at least."""
+    return max(12, (rows.count() // ROWS).bit_length())
+
+
 def bucket_ranks(rows: DataFrame, keys: list[str], bucket: Column, order: list[Column], rank: str, total: str) -> DataFrame:
     """Add `rank`, the place from 0 of each row within its keys, and `total`, the rows of its keys.
 

@@ -4,15 +4,17 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from flatestream.llm import decontamination, language_id, line_dedup, masked_lm, media, mixing, near_dedup, quality_lm, sharding
+from flatestream.llm import decontamination, language_id, line_dedup, masked_lm, media, mixing, near_dedup, quality_lm, queries, sharding
 from flatestream.llm.near_dedup import Forest, near_duplicates
 from flatestream.llm.wordhash import blocks, shingles, words
 
@@ -199,44 +201,75 @@ def test_media_store_keeps_each_chunk_once(spark):
     spark.sql(f"DROP TABLE {name}")
 
 
-def test_kneser_ney_sums_to_one_and_matches_counts(spark):
-    texts = ["abracadabra", "abab", "b", ""]
-    model = quality_lm.fit(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]))
-    seen = model.orders[0][0]
-    for context in ("abra", "xxxx", "\x02aba"):
-        code = 0
-        for c in context:
-            code = code << quality_lm.BITS | ord(c)
-        p = model.probability(np.array([code << quality_lm.BITS | int(c) for c in seen] + [code << quality_lm.BITS | 3999]))
-        assert abs(p.sum() - 1) < 1e-9
-    five = Counter()
+def brute_kneser_ney(texts, order=5):
+    """Probability of a character after a context, from Counters, as the textbook has it."""
+    counts = [Counter()]
     for t in texts:
-        s = "\x01" * 4 + t
-        five.update(s[i : i + 5] for i in range(len(s) - 4))
-    own = model.orders[4][0]
-    assert len(own) == len(five)
-    logs, sizes = model.log_probabilities(texts)
-    assert sizes.tolist() == [11, 4, 1, 0] and logs[3] == 0 and (logs[:3] < 0).all()
+        s = "\x01" * (order - 1) + (t or "")
+        counts[0].update(s[i : i + order] for i in range(len(s) - order + 1))
+    for _ in range(order - 1):
+        counts.insert(0, Counter(g[1:] for g in counts[0]))
+    models = []
+    for own in counts:
+        n = [max(1, sum(v == i for v in own.values())) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [0] + [min(max(x, 0.05), i - 0.05) for i, x in ((1, 1 - 2 * y * n[1] / n[0]), (2, 2 - 3 * y * n[2] / n[1]), (3, 3 - 4 * y * n[3] / n[2]))]
+        after = {}
+        for g, v in own.items():
+            after.setdefault(g[:-1], []).append(v)
+        models.append((own, d, after))
+
+    def p(context, c):
+        out = 1 / (len(counts[0]) + 1)
+        for k, (own, d, after) in enumerate(models, 1):
+            ctx = context[len(context) - k + 1 :]
+            if ctx in after:
+                v = own.get(ctx + c, 0)
+                out = sum(d[min(x, 3)] for x in after[ctx]) / sum(after[ctx]) * out + (v - d[min(v, 3)]) / sum(after[ctx])
+        return out
+
+    return p
+
+
+def test_kneser_ney_by_brute_force(spark):
+    rng = random.Random(16)
+    texts = ["abracadabra", "abab", "b", "", None, "日本語の文章と日本語", "😀😀 ა😀", *(" ".join(prose(rng, 30, "abcdé漢")) for _ in range(6))]
+    model = quality_lm.fit(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]))
+    p = brute_kneser_ney(texts)
+    for t in [*texts, "zzz", "本日語", "cadab \U0010ffff"]:
+        s = "\x01" * 4 + (t or "")
+        want = sum(np.log(p(s[i - 4 : i], s[i])) for i in range(4, len(s)))
+        logs, sizes = model.log_probabilities([t or ""])
+        assert sizes[0] == len(t or "") and logs[0] == pytest.approx(want, rel=1e-9, abs=1e-12)
+    seen = sorted({c for t in texts for c in t or ""})
+    for context in ("abra", "日本語の", "\x01\x01\x01a", "????"):
+        assert sum(p(context, c) for c in [*seen, "\x7f"]) == pytest.approx(1)
+        logs = model.log_probabilities([context + c for c in [*seen, "\x7f"]])[0] - model.log_probabilities([context])[0]
+        assert np.exp(logs).sum() == pytest.approx(1)
 
 
 def test_quality_thresholds_cover_all_trusted(spark):
     rng = random.Random(9)
-    rows = [(i, " ".join(prose(rng, 30)), "en" if i % 25 else "xx", "s") for i in range(200)] + [(300, "abc", "xx", "s"), (None, "abc", "xx", "s")]
+    rows = [(i, " ".join(prose(rng, 30)), "en" if i % 25 else "xx", "s") for i in range(200)] + [(300, "abc", "xx", "s"), (None, "abc", "xx", "s"), (7, None, "en", "s"), (9, "q " * 200_000, "en", "s")]
+    docs = frame(spark, rows)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
-    fitted = {r.doc_id for r in quality_lm.fitted_ids(quality_lm.trusted_ids(labels), 10).collect()}
-    got = quality_lm.quality(frame(spark, rows), labels, bound=10, quantile=1.0).collect()
+    fitted = {r.doc_id for r in quality_lm.fitted_ids(quality_lm.trusted_ids(labels), docs, 10).collect()}
+    got = quality_lm.quality(docs, labels, bound=10, quantile=1.0).collect()
     assert 0 < len(fitted) <= 10 and len(got) == len(rows)
     for lang in ("en", "xx"):
-        most = max(r.perplexity for r in got if r.lang == lang and r.doc_id is not None and r.doc_id < 200 and r.doc_id not in fitted)
-        assert all(r.threshold == pytest.approx(1.25 * most) for r in got if r.lang == lang)
+        most = max(r.perplexity for r in got if r.lang == lang and r.perplexity and r.doc_id is not None and r.doc_id < 200 and r.doc_id not in fitted)
+        assert all(r.threshold == pytest.approx(most) for r in got if r.lang == lang)
+    few = quality_lm.fitted_ids(quality_lm.trusted_ids(labels), docs, 200, most_bytes=3000).count()
+    assert 0 < few < 60
+    assert quality_lm.quality(frame(spark, []), labels).count() == 0
 
 
 def test_quality(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(prose(rng, 60)), "en", "s") for i in range(60)] + [(60 + i, " ".join(f"%$#{rng.randrange(999)}!" for _ in range(60)), "en", "s") for i in range(5)] + [(70, None, "en", None), (71, "", None, None), (72, rows_text(rng), None, None)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(60, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in quality_lm.quality(frame(spark, rows), labels).collect()}
-    assert all(got[i].kept for i in range(60)) and not any(got[i].kept for i in range(60, 65))
+    got = {r.doc_id: r for r in quality_lm.quality(frame(spark, rows), labels, quantile=1.0).collect()}
+    assert sum(got[i].kept for i in range(60)) > 50 and not any(got[i].kept for i in range(60, 65))
     assert not got[70].kept and got[71].perplexity is None and got[72].threshold is not None
     assert all(r.kept == (r.n_symbols > 0) for r in quality_lm.quality(frame(spark, rows), labels.where("false")).collect())
 
@@ -321,6 +354,48 @@ def test_language_profiles(spark):
     assert all(r.lang_pred == "und" for r in language_id.identify(frame(spark, [(1, "abc", None, None)])).collect())
 
 
+def brute_grams(text):
+    own = Counter()
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        w = f" {w} "
+        own.update(w[j : j + n] for n in (1, 2, 3) for j in range(len(w) - n + 1) if w[j : j + n] != " ")
+    return own
+
+
+def brute_order(counts):
+    """Most frequent first; ties by the packed code points, where the blank is 1."""
+    def code(g):
+        out = 0
+        for c in g:
+            out = out << 21 | (1 if c == " " else ord(c))
+        return out
+
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[: language_id.TOP]
+
+
+def test_out_of_place_distance_by_brute_force(spark):
+    rng = random.Random(17)
+    alphabets = {"aa": "abcdefgh", "bb": "abcdxyz", "cc": "éèçàabc"}
+    rows = [(i, " ".join(prose(rng, rng.choice([1, 5, 60]), alphabets[lang])), lang, "s") for i, lang in enumerate(["aa", "bb", "cc"] * 25)]
+    rows += [(3, rows[3][1], "aa", "s"), (200, "ab " * 50_000, "aa", None), (201, "q", None, None), (None, "xyz xyz", "bb", None)]
+    profiles = {}
+    for lang in alphabets:
+        total = Counter()
+        for i, t, own, _ in rows:
+            if own == lang and zlib.crc32((str(i) if i is not None else "").encode()) % 3 != 1:
+                total.update(brute_grams(t))
+        profiles[lang] = {g: n for n, g in enumerate(brute_order(total))}
+    got = language_id.identify(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    for i, t, *_ in rows:
+        own = brute_order(brute_grams(t))
+        away = {lang: sum(abs(p[g] - n) if g in p else language_id.TOP for n, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        assert by_id[i].lang_pred == best and by_id[i].score == pytest.approx(1 - away[best] / (language_id.TOP * len(own)))
+    assert language_id.identify(frame(spark, [])).count() == 0
+
+
 def test_language_counts_by_brute_force(monkeypatch):
     text = "Ab, c Éa" * 40
     want = Counter()
@@ -358,7 +433,8 @@ def test_contained_items(spark, corpus):
     assert got == sorted((d, i, n, s) for (d, i), (_, s, n) in want.items())
     assert {900, 901, 903, 904} <= {r[0] for r in got}
     left = {r.doc_id for r in decontamination.decontaminate(frame(spark, rows), bench).collect()}
-    assert left == {d for d, *_ in rows} - {d for d, *_ in got if d != -1}
+    assert left == {d for d, *_ in rows if d is not None} - {d for d, *_ in got if d != -1}  # the null doc_id holds an item
+    assert decontamination.decontaminate(frame(spark, [(None, "a b", None, None), (904, "a b", None, None), rows[-2]]), bench).count() == 2
     assert decontamination.contained_items(frame(spark, rows), bench.where("false")).count() == 0
     assert decontamination.contained_items(frame(spark, []), bench).count() == 0
 
@@ -428,10 +504,53 @@ def test_pfair_mix(spark):
         done[order[t][0]] += 1
         assert all(abs(done[s] - w * (t + 1) / total) < 1 for s, w in present.items())
     assert mixing.pfair_mix(frame(spark, [])).count() == 0
+    assert mixing.pfair_mix(frame(spark, rows), {}, block_rows=4).count() == len(rows)
+    clash = frame(spark, rows).withColumn("epoch", F.lit("x")).withColumn("block", F.lit(1)).withColumn("position", F.lit(1)).withColumn("place", F.lit(1)).withColumn("mix_source", F.lit("q"))
+    assert sorted(mixing.pfair_mix(clash, weights, other=1, block_rows=4).select("doc_id", "position", "place").collect(), key=str) == sorted(((r.doc_id, r.position, r.place) for r in got), key=str)
+    with pytest.raises(Exception, match="epochs of source"):
+        mixing.pfair_mix(frame(spark, rows), weights, other=1, block_rows=4, most_epochs=2).collect()
+    with pytest.raises(ValueError):
+        mixing.pfair_mix(frame(spark, rows), {None: 2})
     with pytest.raises(ValueError):
         mixing.pfair_mix(frame(spark, rows), {"a": 0})
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of an int and then a long; a null leaves the hash as it is."""
+    h = 42
+    for form, v in zip(("<i", "<q"), values, strict=True):
+        h = h if v is None else xxhash.xxh64_intdigest(struct.pack(form, v), seed=h)
+    return h
+
+
+def brute_shards(rows, shards):
+    """doc_id, source, shard, slot: ranks by sorting, cut by counting."""
+    by_source = {}
+    for d, s in rows:
+        by_source.setdefault("-" if s is None else "+" + s, []).append((spark_hash(17, d), d is not None, d or 0, s))
+    ranked = []
+    for name, own in by_source.items():
+        ranked += [((i + 0.5) / len(own), name, *x) for i, x in enumerate(sorted(own, key=lambda x: x[:3]))]
+    ranked.sort(key=lambda x: x[:5])
+    out, slots = [], Counter()
+    for i, (_, _, _, known, d, s) in enumerate(ranked):
+        shard = i * shards // len(ranked)
+        out.append((d if known else None, s, shard, slots[shard]))
+        slots[shard] += 1
+    return out
+
+
+def test_op10_query(spark):
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = queries.op10_sharding(spark, d).collect()
+    want = {(i, s, n) for i, _, s, n in brute_shards([(i, r.source) for i, r in texts.items()], 16)}
+    assert {(r.doc_id, r.shard, r.slot) for r in got} == want and len(got) == len(texts)
+    for r in got:
+        raw = (texts[r.doc_id].text or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+
+
 def test_shards(spark, corpus):
     rows = [*corpus, *corpus[:5], (None, None, None, None)]
     got = sharding.stratified_shards(frame(spark, rows), 16).collect()
@@ -446,4 +565,6 @@ def test_shards(spark, corpus):
         for k in range(16):
             assert abs(sum(r.source == s and r.shard == k for r in got) - n / 16) <= 2 + len(sources)
     assert sharding.stratified_shards(frame(spark, corpus[:3]), 16).count() == 3
+    want = brute_shards([(i, s) for i, _, _, s in rows], 16)
+    assert Counter((r.doc_id, r.source, r.shard, r.slot) for r in got) == Counter(want)
     assert sharding.stratified_shards(frame(spark, [])).count() == 0
