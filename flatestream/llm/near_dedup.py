@@ -48,7 +48,7 @@ class Forest:
     sure: float = 0.08
     region_rows: int = 8192
     first: int = 4
-    block: int = 128
+    block: int = 512
     widen: int = 4
     more: int = 48
     deepest: int = 16
