@@ -63,7 +63,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def lexicon(docs: DataFrame, hot_words: int = HOT_WORDS) -> Lexicon:
     """Own classes go to the words with the greatest count over the root of their language's words, so that each language has some.
 
-    Ties go to the lower hash. The driver gets FREQUENT hashes, `hot_words` counts and HASHED totals.
+    Ties go to the lower hash. The driver gets FREQUENT hashes, `hot_words` counts at most, and HASHED totals.
     """
     by_lang = materialize(word_counts(docs), "word-counts")
     sizes = by_lang.groupBy("lang").agg(F.sum("n").alias("size"))
@@ -76,9 +76,17 @@ def lexicon(docs: DataFrame, hot_words: int = HOT_WORDS) -> Lexicon:
     totals = np.zeros(HASHED, np.int64)
     for r in counts.groupBy(F.pmod(F.shiftrightunsigned("word", 40), F.lit(HASHED)).alias("c")).agg(F.sum("n").alias("n")).collect():
         totals[r.c] = r.n
-    hot = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(hot_words).toArrow().sort_by("word")
-    edge = counts.where("n > 1").orderBy(F.desc("n"), "word").offset(hot_words - 1).limit(1).first() if hot.num_rows == hot_words else None
-    rare = counts.where("n > 1").where(F.lit(False) if edge is None else (F.col("n") < edge.n) | ((F.col("n") == edge.n) & (F.col("word") > edge.word)))
+    # The cut between hot and rare words lies at a step of the counts' logarithm, so no task sorts words.
+    step = F.floor(F.log2("n") * 16)
+    held, cut = 0, None
+    for r in counts.where("n > 1").groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("s")).collect():
+        held += r.k
+        if held > hot_words:
+            break
+        cut = r.s
+    counts = counts.where("n > 1")
+    hot = counts.where(F.lit(False) if cut is None else step >= cut).toArrow().sort_by("word")
+    rare = counts if cut is None else counts.where(step < cut)
     return Lexicon(frequent, hot["word"].to_numpy(), hot["n"].to_numpy(), totals, rare)
 
 
