@@ -1,4 +1,4 @@
-"""Column functions: bit offsets, text forms, lookups, detection and control predicates."""
+"""Column functions: bit offsets, text forms, lookups, detection and alphabet shapes."""
 
 from __future__ import annotations
 
@@ -110,7 +110,6 @@ def detected_format(content: Column) -> Column:
 
 
 def looks_like_gzi(prefix: Column, file_length: Column) -> Column:
-    count = F.conv(F.hex(F.reverse(F.substring(prefix, 1, 8).cast("string"))), 16, 10)
     little = F.concat(*[F.substring(F.hex(prefix), 15 - 2 * i, 2) for i in range(8)])
     count = F.conv(little, 16, 10).cast("decimal(20,0)")
     return count * 16 + 8 == file_length
@@ -125,47 +124,19 @@ def length_range(lengths: Column) -> Column:
     return F.struct(F.array_min(used).alias("least"), F.array_max(used).alias("most"))
 
 
-def pressure(finished: Column, consumer_blocked: Column, queued: Column, busy: Column, active: Column, best_workers: Column) -> Column:
-    """finished, consumer_bound, decoder_bound, converged, idle, starting: the first that holds."""
-    decoder = (queued != 0) & (busy >= active)
-    return F.when(finished, "finished").when(consumer_blocked, "consumer_bound").when(decoder, "decoder_bound").when(best_workers.isNotNull(), "converged").when((busy == 0) & (queued == 0), "idle").otherwise("starting")
+def counts_by_length(lengths: Column, most: int = 15) -> Column:
+    """How many codes have each length from 1 to `most`."""
+    return F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.size(F.filter(lengths, lambda x: x == n)))
 
 
-def backlog_pressure(produced: Column, consumed: Column, next_bytes: Column, granted: Column, shared: Column) -> Column:
-    """struct(start, clear): whether the backlog and the next chunk exceed granted + 2 chunks, and whether it is down to granted chunks."""
-    backlog = F.greatest(produced - consumed, F.lit(0))
-    on = shared & (next_bytes != 0)
-    granted = F.greatest(granted, F.lit(1))
-    return F.struct(F.when(on, backlog + next_bytes > next_bytes * (granted + 2)).otherwise(False).alias("start"), F.when(on, backlog <= next_bytes * granted).otherwise(True).alias("clear"))
+def alphabet_text(lengths: Column) -> Column:
+    """Used of declared codes, the range of their lengths, and how many have each length that occurs; `unused` for none."""
+    r, by = length_range(lengths), counts_by_length(lengths)
+    each = F.filter(F.transform(by, lambda k, i: F.when(k > 0, F.concat_ws(":", (i + 1).cast("string"), k.cast("string")))), lambda x: x.isNotNull())
+    shown = F.format_string("%d of %d used, lengths %d to %d (%s)", used_count(lengths), F.size(lengths), r["least"], r["most"], F.array_join(each, ", "))
+    return F.when(F.coalesce(used_count(lengths), F.lit(0)) > 0, shown).otherwise("unused")
 
 
-def worker_limit(adaptive: Column, floor: Column, limit: Column, blocked: Column) -> Column:
-    return F.when(blocked, F.lit(1)).otherwise(F.greatest(F.lit(1), F.least(F.greatest(adaptive, floor), limit)))
-
-
-def should_probe(workers: Column, tasks: Column) -> Column:
-    return (workers >= 2) & (tasks >= 16) & (tasks >= workers * 2)
-
-
-def screen_admits(workers: Column, exact_bytes: Column, exact_nanos: Column, other_bytes: Column, other_nanos: Column) -> Column:
-    """Whether the other sample's rate reaches max(65 - 10 * workers, 20) % of the exact one; both need 256 KiB."""
-    gate = F.greatest(F.lit(65) - workers * 10, F.lit(20))
-    wide = lambda c: c.cast("decimal(38,0)")
-    return (workers >= 2) & (exact_bytes >= 262144) & (other_bytes >= 262144) & (wide(other_bytes) * exact_nanos.cast("decimal(18,0)") * 100 >= wide(exact_bytes) * other_nanos.cast("decimal(18,0)") * gate)
-
-
-def task_span(probe_bytes: Column, configured: Column, workers: Column) -> Column:
-    """Bytes for a task: two waves of the probe, at most the configured span, at least 32 KiB."""
-    waves = F.greatest(workers * 2, F.lit(1))
-    return F.greatest(F.least(configured, F.ceil(probe_bytes / waves)), F.lit(32768)).cast("long")
-
-
-def task_members(mean_spacing: Column, configured: Column) -> Column:
-    """Members for a task: 4 where 256 or more fit the configured span, else 1."""
-    return F.when(mean_spacing <= F.floor(configured / 256), 4).otherwise(1)
-
-
-def bootstrap_workers(maximum: Column, machine: Column) -> Column:
-    """ceil(2 * sqrt(n)) of the smaller of both bounds; up to 4 the bound itself."""
-    n = F.least(maximum, F.greatest(machine, F.lit(1)))
-    return F.when(n <= 4, n).otherwise(F.least(n, F.ceil(F.sqrt(n * 4)).cast("long")))
+def throughput(decoded_bytes: Column, seconds: Column) -> Column:
+    """MiB in a second; null where no time has passed."""
+    return F.when(seconds > 0, decoded_bytes / seconds / (1 << 20))

@@ -1,11 +1,8 @@
-"""Ordered grouping: first rows within a budget, fixed and greedy batches, adjacency chains, fair shares."""
+"""Ordered grouping: first rows within a budget, fixed batches, adjacency chains."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scans import running
@@ -28,30 +25,6 @@ def fixed_batches(df: DataFrame, keys: list[str], bucket: Column, order: list[Co
     return rows.withColumn("batch", F.floor(F.col("_place") / size)).drop("_place")
 
 
-def greedy_batches(df: DataFrame, keys: list[str], order: list[str], weight: str, most_weight: int, most_rows: int) -> DataFrame:
-    """Add batch: a batch closes before the row that would take it over either limit; a row over the limit is alone.
-
-    Each batch depends on where the last one ended, so the rows of a group are folded in order, one Arrow batch at a time.
-    """
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, batch, held, rows = None, 0, 0, 0
-        for f in frames:
-            out = []
-            for own, w in zip(f[keys].itertuples(index=False, name=None), f[weight], strict=True):
-                if own != group:
-                    group, batch, held, rows = own, 0, 0, 0
-                elif held + w > most_weight or rows >= most_rows:
-                    batch, held, rows = batch + 1, 0, 0
-                held, rows = held + w, rows + 1
-                out.append(batch)
-            yield f.assign(batch=out)
-
-    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return rows.mapInPandas(fold, f"{schema}, batch long")
-
-
 def accepted_chain(df: DataFrame, keys: list[str], start: str, end: str, bucket: Column) -> DataFrame:
     """The rows of each group that follow one another without a gap from its first start, as far as they do. `bucket` follows start."""
     order = [F.col(start), F.col(end)]
@@ -61,19 +34,6 @@ def accepted_chain(df: DataFrame, keys: list[str], start: str, end: str, bucket:
     return rows.where("_breaks + _broken = 0").select(*df.columns)
 
 
-def fair_shares(demand: DataFrame, name: str, wanted: str, slots: int, start: int = 0) -> DataFrame:
-    """name, granted: max-min fair shares of `slots`, round by round, the names in order from number `start` on.
-
-    `demand` is a table of sharers, and at most `slots` units of one sharer's demand are unrolled.
-    """
-    rank = F.row_number().over(Window.orderBy(name)) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    rows = demand.withColumn("_turn", F.pmod(rank - F.lit(start) + n, n)).withColumn("_ask", F.least(F.col(wanted), F.lit(slots)).cast("int"))
-    units = rows.where("_ask > 0").select(name, "_turn", F.explode(F.sequence(F.lit(1), F.col("_ask"))).alias("_round"))
-    given = units.orderBy("_round", "_turn").limit(slots).groupBy(name).agg(F.count(F.lit(1)).alias("granted"))
-    return demand.select(name).join(given, name, "left").select(name, F.coalesce("granted", F.lit(0)).cast("long").alias("granted"))
-
-
 def at_most(df: DataFrame, keys: list[str], n: int, what: str) -> DataFrame:
     """df itself; running it raises where a group has more than n rows. Limits fail, they don't cut."""
     over = df.groupBy(*keys).count().where(F.col("count") > n) if keys else df.groupBy().count().where(F.col("count") > n)

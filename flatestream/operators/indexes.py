@@ -53,7 +53,7 @@ def checkpoint_at_line(targets: DataFrame, checkpoints: DataFrame, bucket_lines:
 def index_violations(checkpoints: DataFrame, windows: DataFrame, meta: DataFrame) -> DataFrame:
     """file_id, ordinal, rule: every broken rule of the index tables; empty for a valid index."""
     w = Window.partitionBy("file_id").orderBy("ordinal")
-    rows = checkpoints.join(meta, "file_id", "left").join(windows.select("file_id", "compressed_offset_bits", F.lit(True).alias("has_window")), ["file_id", "compressed_offset_bits"], "left")
+    rows = checkpoints.withColumnRenamed("kind", "ck").join(meta.withColumnRenamed("kind", "kind_"), "file_id", "left").join(windows.select("file_id", "compressed_offset_bits", F.lit(True).alias("has_window")), ["file_id", "compressed_offset_bits"], "left")
     has = F.coalesce("has_window", F.lit(False))
     allowed = F.lit(False)
     for kind, own in ALLOWED_KINDS.items():
@@ -61,7 +61,7 @@ def index_violations(checkpoints: DataFrame, windows: DataFrame, meta: DataFrame
     rows = rows.withColumnRenamed("line_offset", "line")
     prior = lambda c: F.lag(c).over(w)
     rows = rows.select(
-        "file_id", "ordinal", F.col("compressed_offset_bits").alias("bits"), F.col("uncompressed_offset").alias("off"), "line", has.alias("has"), checkpoints["kind"].alias("ck"), meta["kind"].alias("kind_"),
+        "file_id", "ordinal", F.col("compressed_offset_bits").alias("bits"), F.col("uncompressed_offset").alias("off"), "line", has.alias("has"), "ck", "kind_",
         "compressed_size", "uncompressed_size", "total_lines", prior("compressed_offset_bits").alias("p_bits"), prior("uncompressed_offset").alias("p_off"), prior("line").alias("p_line"),
         F.count("line").over(Window.partitionBy("file_id")).alias("n_line"), F.count(F.lit(1)).over(Window.partitionBy("file_id")).alias("n_all"),
     )

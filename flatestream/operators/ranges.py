@@ -59,7 +59,7 @@ def byte_bounds(ranges: DataFrame, lines: DataFrame, sizes: DataFrame) -> DataFr
 def extract_ranges(chunks: DataFrame, bounds: DataFrame) -> DataFrame:
     """file_id, range_ord, chunk, bytes: the pieces of each range in chunk order. Ranges stay apart where they overlap; an empty one has no piece."""
     c = chunks.select("file_id", "chunk", F.col("uncompressed_offset").alias("_at"), "bytes", (F.col("uncompressed_offset") + F.octet_length("bytes")).alias("_end"))
-    rows = bounds.join(c, "file_id").where((F.col("start") < F.col("_end")) & (F.col("end") > F.col("_at")))
+    rows = bounds.where("end > start").join(c, "file_id").where((F.col("start") < F.col("_end")) & (F.col("end") > F.col("_at")))
     first = F.greatest(F.col("start") - F.col("_at"), F.lit(0)).cast("int")
     size = (F.least("end", "_end") - F.greatest("start", "_at")).cast("int")
     return rows.select("file_id", "range_ord", "chunk", F.substring("bytes", first + 1, size).alias("bytes"))

@@ -9,9 +9,10 @@ from ..functions import columns as c
 from ..operators import indexes, ranges
 from ..operators.scans import running
 from ..operators.statistics import histogram
-from ..sources import archives
+from ..sources import archives, resume
 from ..sources.blocks import block_table
 from ..sources.index_files import index_files, index_table
+from .views import stored
 
 
 def decode(files: DataFrame, format: str = "auto", expected_size: int | None = None, output_limit: int | None = None) -> DataFrame:
@@ -44,24 +45,103 @@ def count_lines(files: DataFrame, format: str = "auto") -> DataFrame:
     return archives.decode_report(archives.member_table(files, format, strict=True)).select("file_id", "line_count")
 
 
-def cut(files: DataFrame, spec: str, format: str = "auto") -> DataFrame:
-    """file_id, range_ord, chunk, bytes of the ranges of a specification such as `10@0,5L@20L,inf@40L`."""
+Index = tuple[DataFrame, DataFrame, DataFrame]
+
+
+def cut(files: DataFrame, spec: str, format: str = "auto", index: Index | None = None) -> DataFrame:
+    """file_id, range_ord, chunk, bytes of the ranges of a specification such as `10@0,5L@20L,inf@40L`.
+
+    With an index (as import_index gives it) only the spans that a range touches, or that hold its first or last line break, are decoded;
+    chunk is then the number of the span.
+    """
+    request = ranges.parse_ranges(files.sparkSession, spec)
+    if index:
+        return _cut_by_index(files, request, *index)
     members = archives.member_table(files, format, strict=True)
     sizes = archives.index_meta_of(members).select("file_id", "uncompressed_size")
-    bounds = ranges.byte_bounds(ranges.parse_ranges(files.sparkSession, spec), archives.line_table(files, format), sizes)
+    bounds = ranges.byte_bounds(request, archives.line_table(files, format), sizes)
     return ranges.extract_ranges(archives.chunk_table(files, format), bounds)
 
 
+def _cut_by_index(files: DataFrame, request: DataFrame, points: DataFrame, windows: DataFrame, meta: DataFrame) -> DataFrame:
+    points, meta = stored(points, "points"), stored(meta, "meta")
+    spans = stored(indexes.spans(points, meta).join(windows, ["file_id", "compressed_offset_bits"], "left"), "spans")
+
+    def decoded(wanted: DataFrame) -> DataFrame:
+        """The spans of wanted (file_id, ordinal), once each, with their bytes."""
+        own = spans.join(wanted.select("file_id", "ordinal").distinct(), ["file_id", "ordinal"], "left_semi")
+        return resume.decode_points(files, own).select("file_id", "ordinal", "bytes")
+
+    def line_starts(asked: DataFrame, line: str, name: str) -> DataFrame:
+        """asked with the byte where a line starts: after the breaks that are missing in the last span whose first byte lies before it."""
+        at = asked.where(F.col(line) > 0).select("file_id", F.col(line).alias("line")).distinct()
+        if at.isEmpty():
+            return asked.withColumn(name, F.when(F.col(line) == 0, F.lit(0).cast("long")))
+        found = indexes.checkpoint_at_line(at, points).join(spans.select("file_id", "compressed_offset_bits", "ordinal", "uncompressed_offset", "line_offset"), ["file_id", "compressed_offset_bits"])
+        found = stored(found, "found")
+        starts = found.join(decoded(found), ["file_id", "ordinal"])
+        missing = (F.col("line") - F.col("line_offset")).cast("int")
+        text = F.decode("bytes", "ISO-8859-1")
+        head = F.call_function("substring_index", text, F.lit("\n"), missing)
+        inside = F.when(F.length(head) < F.length(text), F.length(head) + 1)
+        starts = starts.select("file_id", F.col("line").alias(line), (F.col("uncompressed_offset") + inside).alias("_at"))
+        at_zero = F.when(F.col(line) == 0, F.lit(0).cast("long"))
+        return asked.join(starts, ["file_id", line], "left").withColumn(name, F.coalesce(at_zero, "_at", F.when(F.col(line).isNotNull(), F.col("uncompressed_size")))).drop("_at")
+
+    unknown = F.raise_error(F.concat(F.lit("the index has no lines: "), "file_id")).cast("long")
+    r = meta.select("file_id", "uncompressed_size", "total_lines").crossJoin(F.broadcast(request))  # a request is a small table
+    r = r.withColumn("_l", F.when(F.col("offset_kind") == "lines", F.when(F.col("total_lines").isNull(), unknown).otherwise(F.col("offset"))))
+    r = line_starts(stored(r, "asked"), "_l", "_s").withColumn("start", F.coalesce("_s", F.least("offset", "uncompressed_size"))).drop("_s")
+    r = stored(r, "starts")
+    inner = r.where("size_kind = 'lines' and offset_kind = 'bytes' and size > 0").select("file_id", "range_ord", F.col("start").alias("offset"))
+    before = stored(indexes.checkpoint_at_byte(inner, points).join(spans.select("file_id", "compressed_offset_bits", "ordinal", "line_offset"), ["file_id", "compressed_offset_bits"]), "before")
+    before = before.join(decoded(before), ["file_id", "ordinal"])
+    passed = F.left(F.decode("bytes", "ISO-8859-1"), (F.col("offset") - F.col("checkpoint_offset")).cast("int"))
+    before = before.select("file_id", "range_ord", (F.col("line_offset") + F.length(passed) - F.length(F.replace(passed, F.lit("\n"), F.lit("")))).alias("_past"))
+    r = r.join(before, ["file_id", "range_ord"], "left")
+    r = r.withColumn("_want", F.when((F.col("size_kind") == "lines") & (F.col("size") > 0), F.coalesce("_l", "_past") + F.col("size")))
+    r = line_starts(stored(r, "wanted"), "_want", "_e")
+    lines = F.when(F.col("size") == 0, F.col("start")).otherwise(F.greatest("_e", "start"))
+    end = F.when(F.col("size_kind") == "rest", F.col("uncompressed_size")).when(F.col("size_kind") == "lines", lines).otherwise(F.least(F.col("start") + F.col("size"), F.col("uncompressed_size")))
+    bounds = stored(r.select("file_id", "range_ord", "start", end.alias("end")).where("end > start"), "bounds")
+    touched = spans.select("file_id", "ordinal", F.col("uncompressed_offset").alias("_from"), "end_offset").join(bounds, "file_id").where("start < end_offset and end > _from")
+    chunks = decoded(touched).join(spans.select("file_id", "ordinal", "uncompressed_offset"), ["file_id", "ordinal"]).withColumnRenamed("ordinal", "chunk")
+    return ranges.extract_ranges(chunks, bounds)
+
+
+def index_points(files: DataFrame, spacing: int | None = None, format: str = "auto") -> DataFrame:
+    """Checkpoints with payload and is_compressed: the member starts and, with `spacing`, block starts inside streams that many decoded bytes apart.
+
+    A point inside a stream has the up to 32 KiB of its stream before it as a window; every point has the line breaks before it.
+    """
+    members = archives.member_table(files, format, strict=True)
+    starts = archives.checkpoints_of(members)
+    if spacing is None:
+        return starts.withColumns({"payload": F.lit(None).cast("binary"), "is_compressed": F.lit(False)})
+    base = members.select("file_id", F.col("member").alias("stream_index"), F.col("uncompressed_offset").alias("base"))
+    inside = block_table(files, format).where("index_in_stream > 0 and uncompressed_offset > 0").join(base, ["file_id", "stream_index"])
+    inside = inside.select("file_id", "compressed_offset_bits", (F.col("base") + F.col("uncompressed_offset")).alias("uncompressed_offset"), F.lit("deflate_block").alias("kind"), F.col("uncompressed_offset").alias("reach"), F.lit(True).alias("has_window"))
+    both = starts.drop("ordinal", "line_offset").withColumn("has_window", F.lit(False)).unionByName(inside, allowMissingColumns=True)
+    kept = stored(indexes.thin(stored(both, "points"), spacing), "kept")
+    kept = running(kept, ["file_id"], F.floor(F.col("compressed_offset_bits") / (1 << 28)), [F.col("compressed_offset_bits")], {"ordinal": ("count", F.lit(1))})
+    kept = stored(indexes.line_offsets_at(kept, archives.line_table(files, format)), "placed")
+    windows = resume.windows_at(files, kept.where("kind = 'deflate_block'").select("file_id", "ordinal", "uncompressed_offset", "reach"))
+    cut_to = F.least("reach", F.lit(resume.WINDOW)).cast("int")
+    own = F.substring("payload", -cut_to, cut_to)
+    windows = windows.select("file_id", "ordinal", F.concat(F.substring(F.lit(bytes(resume.WINDOW)), F.lit(1), resume.WINDOW - cut_to), own).alias("payload"))  # index files hold whole windows
+    return kept.join(windows, ["file_id", "ordinal"], "left").withColumn("is_compressed", F.lit(False)).drop("reach", "has_window")
+
+
 def export_index(files: DataFrame, form: str = "native", spacing: int | None = None, format: str = "auto") -> DataFrame:
-    """file_id, content: an index of the member starts of each file."""
+    """file_id, content: an index of each file's member starts, and with `spacing` of points inside its streams (index_points)."""
     members = archives.member_table(files, format, strict=True)
-    points = archives.checkpoints_of(members)
+    points = index_points(files, spacing, format)
     if form in ("gzidx", "gztool", "gztool-lines"):
-        starts = members.select("file_id", F.col("member").alias("ordinal"), (F.col("deflate_offset") * 8).alias("bits"))
-        points = points.join(starts, ["file_id", "ordinal"]).withColumn("compressed_offset_bits", F.col("bits")).withColumn("kind", F.lit("gzip_member_deflate")).drop("bits")
+        starts = members.select("file_id", F.col("header_offset"), (F.col("deflate_offset") * 8).alias("bits"))
+        points = points.join(starts, ["file_id", "header_offset"], "left").withColumn("compressed_offset_bits", F.coalesce("bits", "compressed_offset_bits"))
+        points = points.withColumn("kind", F.when(F.col("bits").isNotNull(), "gzip_member_deflate").otherwise(F.col("kind"))).drop("bits")
     meta = archives.index_meta_of(members).withColumn("spacing", F.lit(spacing).cast("long"))
-    rows = points.withColumnRenamed("kind", "point_kind").withColumns({"payload": F.lit(None).cast("binary"), "is_compressed": F.lit(False)})
-    return index_files(rows.join(meta, "file_id"), form)
+    return stored(index_files(points.withColumnRenamed("kind", "point_kind").join(meta, "file_id"), form), "index")
 
 
 def import_index(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -73,16 +153,53 @@ def import_index(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return indexes.all_or_none_lines(points), windows, meta
 
 
-def analyze(files: DataFrame) -> DataFrame:
-    """file_id, ord, line: a report of the streams and blocks of each file, in order."""
-    blocks, members = block_table(files), archives.member_table(files, "gzip", strict=True)
-    streams = members.select("file_id", F.col("member").cast("double").alias("place"), F.format_string("Stream %d: %s, %s -> %s, CRC32 %08x, OS %s", "member", F.coalesce(F.decode("file_name", "UTF-8"), F.lit("-")), c.bytes_text(F.col("end_offset") - F.col("header_offset")), c.bytes_text(F.col("uncompressed_size")), "crc32", c.lookup(F.col("os"), c.OPERATING_SYSTEMS)).alias("line"))
+def analyze(files: DataFrame, format: str = "auto", details: int = 1_000_000) -> DataFrame:
+    """file_id, ord, line: a report of the streams and blocks of each file, in order; `details` is the budget of listed references."""
+    blocks, members = block_table(files, format, details), archives.member_table(files, format, strict=True)
+    name = lambda c: F.coalesce(F.decode(c, "UTF-8"), F.lit("-"))
+    check = F.when(F.col("format") == "gzip", F.format_string("CRC32 %08x", "crc32")).when(F.col("format") == "zlib", F.format_string("Adler32 %08x", "adler32")).otherwise("no checksum")
+    ratio = F.format_string("%.2f", F.coalesce(c.compression_ratio(F.col("uncompressed_size"), (F.col("end_offset") - F.col("header_offset")) * 8), F.lit(0.0)))
+    level = F.when(F.col("format") == "zlib", c.lookup(F.col("xfl"), c.ZLIB_LEVELS)).when(F.col("format") == "gzip", c.lookup(F.col("xfl"), c.EXTRA_FLAGS)).otherwise("-")
+    head = F.format_string("Stream %d: %s %s, %s -> %s, ratio %s, %s, OS %s", "member", "format", name("file_name"), c.bytes_text(F.col("end_offset") - F.col("header_offset")), c.bytes_text(F.col("uncompressed_size")), ratio, check, F.coalesce(c.lookup(F.col("os"), c.OPERATING_SYSTEMS), F.lit("-")))
+    more = F.format_string("  comment %s, extra %s, level: %s", name("comment"), F.coalesce(c.escaped_bytes(F.col("extra")), F.lit("-")), level)
+    streams = members.select("file_id", F.col("member").cast("double").alias("place"), head.alias("line"))
+    fields = members.select("file_id", (F.col("member") + 0.5 / (1 << 30)).alias("place"), more.alias("line"))
     place = F.col("stream_index") + (F.col("index_in_stream") + 1) / (1 << 30)
-    used = lambda a: F.coalesce(c.used_count(F.col(a)), F.lit(0))
-    each = blocks.select("file_id", place.alias("place"), F.format_string("  Block %d: %s%s, %s -> %s, %d literals, %d references, codes %d/%d/%d", "index_in_stream", "block_type", F.when(F.col("is_final"), " (final)").otherwise(""), c.bits_text(F.col("compressed_size_bits")), c.bytes_text(F.col("uncompressed_size")), "literal_symbols", "backreference_symbols", used("precode"), used("literal"), used("distance")).alias("line"))
+    shape = F.format_string(
+        "  Block %d: %s%s, header %d b, %s -> %s, %d literals, %d references, %d into the window (%d merged, %d bytes used, %d not listed)", "index_in_stream", "block_type", F.when(F.col("is_final"), " (final)").otherwise(""),
+        F.col("compressed_data_offset_bits") - F.col("compressed_offset_bits"), c.bits_text(F.col("compressed_size_bits")), c.bytes_text(F.col("uncompressed_size")), "literal_symbols", "backreference_symbols",
+        "window_backreference_count", "merged_window_backreference_count", "used_window_symbols", "omitted_backreference_count",
+    )
+    each = blocks.select("file_id", place.alias("place"), shape.alias("line"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n"), F.col(n).alias("a")) for i, n in enumerate(("precode", "distance", "literal"))]))
+    alphabets = blocks.where("block_type = 'Dynamic Huffman'").select("file_id", place.alias("place"), kinds.alias("k"))
+    alphabets = alphabets.select("file_id", (F.col("place") + (F.col("k.i") + 1) / (1 << 34)).alias("place"), F.concat(F.lit("    "), "k.n", F.lit(": "), c.alphabet_text(F.col("k.a"))).alias("line"))
     types = blocks.groupBy("file_id", "block_type").count().select("file_id", F.lit(1e12).alias("place"), F.format_string("%s blocks: %d", "block_type", "count").alias("line"))
+    same = blocks.where("block_type = 'Dynamic Huffman'").groupBy("file_id").agg((F.count("literal") - F.count_distinct("literal")).alias("n"), F.count("literal").alias("of"))
+    same = same.select("file_id", F.lit(1.5e12).alias("place"), F.format_string("Repeated literal alphabets: %d of %d", "n", "of").alias("line"))
     sizes = histogram(blocks, ["file_id"], "uncompressed_size", 8, integers=True)
-    bars = sizes.select("file_id", (F.lit(2e12) + F.col("bin")).alias("place"), F.format_string("Block sizes, bin %d of [%.0f, %.0f]: %d", "bin", "low", "high", "count").alias("line"))
-    rows = streams.unionByName(each).unionByName(types).unionByName(bars)
+    bars = sizes.join(sizes.groupBy("file_id").agg(F.max("count").alias("most")), "file_id")
+    bars = bars.select("file_id", (F.lit(2e12) + F.col("bin")).alias("place"), F.format_string("Block sizes, bin %d of [%.0f, %.0f]: %d %s", "bin", "low", "high", "count", c.bar(F.col("count"), F.col("most"))).alias("line"))
+    rows = streams
+    for x in (fields, each, alphabets, types, same, bars):
+        rows = rows.unionByName(x)
     numbered = running(rows, ["file_id"], F.floor(F.col("place") / 1024), [F.col("place"), F.col("line")], {"ord": ("count", F.lit(1))})
     return numbered.select("file_id", "ord", "line")
+
+
+def has_complete_details(blocks: DataFrame) -> DataFrame:
+    """file_id, complete: whether every reference of every block is listed."""
+    return blocks.groupBy("file_id").agg((F.sum("omitted_backreference_count") == 0).alias("complete"))
+
+
+def first_bytes(files: DataFrame, n: int, format: str = "auto") -> DataFrame:
+    """Chunks up to the first n decoded bytes of each file; what comes after them is decoded and verified, but not given."""
+    chunks = archives.chunk_table(files, format).where(F.col("uncompressed_offset") < n)
+    return chunks.withColumn("bytes", F.substring("bytes", F.lit(1), F.least(F.octet_length("bytes"), n - F.col("uncompressed_offset")).cast("int")))
+
+
+def summary(files: DataFrame, seconds: float | None = None, format: str = "auto") -> DataFrame:
+    """One row for all files: files, members, bytes in and out, line breaks, and MiB of output in a second where the time is given."""
+    report = archives.decode_report(archives.member_table(files, format, strict=True))
+    total = report.agg(F.count(F.lit(1)).alias("files"), *[F.sum(x).alias(x) for x in ("member_count", "compressed_bytes", "decompressed_bytes", "line_count")])
+    return total.withColumn("mib_per_second", c.throughput(F.col("decompressed_bytes"), F.lit(seconds).cast("double")))

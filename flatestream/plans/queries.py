@@ -14,7 +14,7 @@ from ..sources import archives, resume
 from ..sources.blocks import block_table, block_violations
 from ..streaming import streams
 from . import actions
-from .views import bench_rows, damaged, document_archives, table
+from .views import bench_rows, damaged, document_archives, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,15 +89,8 @@ def decode_from_index(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("file_id").agg(F.count(F.lit(1)).alias("spans"), F.sum("actual_size").alias("bytes"), F.bool_and(F.col("actual_size") == F.col("expected_size")).alias("agree"))
 
 
-@query("SELECT doc_id::VARCHAR AS file_id, sha256(encode(text)) AS sha256 FROM documents WHERE octet_length(encode(text)) > 0 AND octet_length(encode(text)) <= 4096")
-def decoded_digest(spark: SparkSession, d: str) -> DataFrame:
-    chunks = archives.chunk_table(files_of(spark, d), "gzip")
-    one = chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes")).where("n = 1")
-    return one.select("file_id", F.sha2("bytes", 256).alias("sha256"))
-
-
 @query("SELECT doc_id::VARCHAR AS file_id, sha256(encode(coalesce(text, ''))) AS sha256 FROM documents")
-def decoded_digest_whole(spark: SparkSession, d: str) -> DataFrame:
+def decoded_digest(spark: SparkSession, d: str) -> DataFrame:
     return archives.digest_table(files_of(spark, d), "gzip")
 
 
@@ -105,9 +98,7 @@ def decoded_digest_whole(spark: SparkSession, d: str) -> DataFrame:
 def crc32_combined(spark: SparkSession, d: str) -> DataFrame:
     """Combined from chunks; agree compares it with the CRC-32 of the whole text."""
     chunks = archives.chunk_table(files_of(spark, d), "gzip")
-    found = checksums.combined_crc32(chunks, ["file_id"], "chunk", "bytes")
-    whole = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.crc32(F.col("text").cast("binary")).alias("whole"))
-    return found.join(whole, "file_id").select("file_id", "bytes", "crc32", (F.col("crc32") == F.col("whole")).alias("agree"))
+    return _whole_crc(table(spark, d, "documents"), checksums.combined_crc32(chunks, ["file_id"], "chunk", "bytes"))
 
 
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'gzip' WHEN 1 THEN 'zlib' END AS format FROM documents")
@@ -123,10 +114,14 @@ def structural_blocks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", "stream_index", "index_in_stream", "is_final", "block_type", "compressed_size_bits", "uncompressed_offset", "uncompressed_size", "literal_symbols", "backreference_symbols", "copied_bytes", "farthest_backreference")
 
 
-@query(f"WITH {M} SELECT file_id, stream_index, rule FROM (SELECT file_id, member AS stream_index, '' AS rule FROM mm) WHERE false")
+@query("SELECT doc_id::VARCHAR AS file_id, 0::BIGINT AS stream_index, CASE doc_id % 3 WHEN 0 THEN 'blocks make up the stream' ELSE 'stream without blocks or blocks without a stream' END AS rule FROM documents WHERE doc_id % 3 < 2")
 def structural_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Faults are put in: a third of the files have a wrong size of the first member, a third lack its blocks."""
     files = files_of(spark, d)
-    return block_violations(block_table(files), archives.member_table(files, "gzip"))
+    third = F.pmod(F.col("file_id").cast("long"), F.lit(3))
+    blocks = block_table(files).where((third != 1) | (F.col("stream_index") > 0))
+    members = archives.member_table(files, "gzip")
+    return block_violations(blocks, members.withColumn("uncompressed_size", F.col("uncompressed_size") + F.when((third == 0) & (F.col("member") == 0), 1).otherwise(0)))
 
 
 # Index tables and range access
@@ -195,16 +190,19 @@ def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     return points, points.limit(0).select("file_id", "compressed_offset_bits"), archives.index_meta_of(members)
 
 
-@query("SELECT '' AS file_id, 0::BIGINT AS ordinal, '' AS rule WHERE false")
-def index_violations_none(spark: SparkSession, d: str) -> DataFrame:
-    return indexes.index_violations(*_tables(spark, d))
+@query(f"WITH {M} SELECT file_id, 0::BIGINT AS ordinal, 'kind not allowed in this index' AS rule FROM d WHERE file_id::BIGINT % 2 = 1")
+def index_violations_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The first point of every other file has a kind that a gzip index can't hold; the other files' indexes are valid."""
+    points, windows, meta = _tables(spark, d)
+    odd = (F.col("ordinal") == 0) & (F.col("file_id").cast("long") % 2 == 1)
+    return indexes.index_violations(points.withColumn("kind", F.when(odd, "zlib_header").otherwise(F.col("kind"))), windows, meta)
 
 
-@query(f"WITH {M} SELECT file_id, member AS ordinal, 'offset beyond the uncompressed size' AS rule FROM mm WHERE member > 0 AND member % 2 = 1")
+@query(f"WITH {M} SELECT file_id, member AS ordinal, 'offset beyond the uncompressed size' AS rule FROM mm WHERE member % 2 = 1 UNION ALL SELECT file_id, member, 'offsets must not decrease' FROM mm WHERE member > 0 AND member % 2 = 0")
 def index_violations_found(spark: SparkSession, d: str) -> DataFrame:
     points, windows, meta = _tables(spark, d)
     points = points.withColumn("uncompressed_offset", F.when(F.col("ordinal") % 2 == 1, F.col("uncompressed_offset") + (1 << 40)).otherwise(F.col("uncompressed_offset")))
-    return indexes.index_violations(points, windows, meta).where("rule <> 'offsets must not decrease'")
+    return indexes.index_violations(points, windows, meta)
 
 
 # Intervals, histograms, statistics
@@ -275,9 +273,14 @@ def bench_group_medians(spark: SparkSession, d: str) -> DataFrame:
     return statistics.bench_summary(bench_rows(table(spark, d, "events")))
 
 
-@query("SELECT '' AS rule, '' AS corpus, '' AS mode, '' AS tool, 0 AS threads, 0 AS repetition WHERE false")
+@query(f"""WITH {_BENCH.replace("value, user_id FROM", "value, user_id, event_id FROM")}, k AS (SELECT corpus, 'decode' AS mode, tool, threads, event_id::INT AS repetition FROM b)
+SELECT 'attempt occurs more than once' AS rule, * FROM k WHERE repetition % 17 = 0
+UNION ALL SELECT 'status disagrees with exit_status', k.* FROM k, range(2) t(n) WHERE repetition % 13 = 0 AND (n = 0 OR repetition % 17 = 0)""")
 def bench_rules(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.bench_violations(bench_rows(table(spark, d, "events")))
+    """Faults are put in: a wrong exit status in every 13th attempt, every 17th attempt twice."""
+    raw = bench_rows(table(spark, d, "events"))
+    raw = raw.withColumn("exit_status", F.when(F.col("repetition") % 13 == 0, 1 - F.col("exit_status")).otherwise(F.col("exit_status")))
+    return statistics.bench_violations(raw.unionByName(raw.where("repetition % 17 = 0")))
 
 
 @query("""WITH x AS (SELECT user_id, date_trunc('day', ts) AS day, avg(value) FILTER (event_id % 2 = 0) AS base, avg(value) FILTER (event_id % 2 = 1) AS cand FROM events GROUP BY ALL)
@@ -315,13 +318,7 @@ def run_plan(spark: SparkSession, d: str) -> DataFrame:
     return statistics.run_plan(tools, table(spark, d, "nation").select(F.col("n_name").alias("corpus")), modes, threads, 3)
 
 
-# Grouping and fairness
-
-
-@query("WITH s AS (SELECT source, count(*) AS wanted, row_number() OVER (ORDER BY source) - 1 AS r, count(*) OVER () AS k FROM documents GROUP BY source), u AS (SELECT source, (r - 3 + k) % k AS turn, unnest(range(1, least(wanted, 50) + 1)) AS round FROM s), g AS (SELECT source, count(*) AS granted FROM (SELECT source FROM u ORDER BY round, turn LIMIT 50) GROUP BY source) SELECT source, coalesce(granted, 0) AS granted FROM s LEFT JOIN g USING (source)")
-def maxmin_allocation(spark: SparkSession, d: str) -> DataFrame:
-    demand = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("wanted"))
-    return grouping.fair_shares(demand, "source", "wanted", 50, start=3)
+# Grouping
 
 
 @query("SELECT doc_id, source, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8)::BIGINT AS batch FROM documents")
@@ -330,15 +327,6 @@ def batch_fixed8(spark: SparkSession, d: str) -> DataFrame:
     return grouping.fixed_batches(docs, ["source"], F.floor(F.col("doc_id") / 1024), [F.col("doc_id")], 8)
 
 
-@query("""WITH RECURSIVE o AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS r FROM lineitem),
-g AS (SELECT l_orderkey, l_linenumber, r, l_quantity AS held, 1 AS n, 0::BIGINT AS batch FROM o WHERE r = 1 UNION ALL
-SELECT o.l_orderkey, o.l_linenumber, o.r, CASE WHEN g.held + o.l_quantity > 60 OR g.n >= 4 THEN o.l_quantity ELSE g.held + o.l_quantity END, CASE WHEN g.held + o.l_quantity > 60 OR g.n >= 4 THEN 1 ELSE g.n + 1 END, g.batch + CASE WHEN g.held + o.l_quantity > 60 OR g.n >= 4 THEN 1 ELSE 0 END
-FROM g JOIN o ON o.l_orderkey = g.l_orderkey AND o.r = g.r + 1) SELECT l_orderkey, l_linenumber, batch FROM g""")
-def batch_greedy(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return grouping.greedy_batches(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity", 60, 4).select("l_orderkey", "l_linenumber", "batch")
-
-
 @query("""WITH RECURSIVE v AS (SELECT DISTINCT l_orderkey, l_linenumber AS s, l_linenumber + 1 + CASE WHEN (l_orderkey + l_linenumber) % 5 = 0 THEN 1 ELSE 0 END AS e FROM lineitem),
 k AS (SELECT l_orderkey, s, e FROM v WHERE s = (SELECT min(s) FROM v w WHERE w.l_orderkey = v.l_orderkey) UNION ALL SELECT v.l_orderkey, v.s, v.e FROM k JOIN v ON v.l_orderkey = k.l_orderkey AND v.s = k.e AND k.e = (SELECT min(s) FROM v w WHERE w.l_orderkey = k.l_orderkey AND w.s > k.s))
 SELECT l_orderkey, s AS start, e AS "end" FROM k""")
@@ -378,47 +366,20 @@ def text_forms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", c.bits_text(k).alias("bits"), c.bytes_text(k).alias("bytes"), c.general_text(x * x / 1000).alias("general"), c.scientific_text(x).alias("scientific"), c.metric_text(x).alias("metric"))
 
 
-@query("SELECT p_partkey, CASE p_size % 15 WHEN 3 THEN 'Unix' WHEN 1 THEN 'Amiga' WHEN 14 THEN 'undefined (14)' END AS os, CASE p_size % 5 WHEN 0 THEN 'none' WHEN 2 THEN 'compressor used maximum compression, slowest algorithm' WHEN 4 THEN 'compressor used fastest algorithm' ELSE printf('undefined (%d)', p_size % 5) END AS xfl FROM part WHERE p_size % 15 IN (1, 3, 14)")
-def os_flag_lookup(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").where("p_size % 15 IN (1, 3, 14)")
-    return rows.select("p_partkey", c.lookup(F.col("p_size") % 15, c.OPERATING_SYSTEMS).alias("os"), c.lookup(F.col("p_size") % 5, c.EXTRA_FLAGS).alias("xfl"))
-
-
 @query("""SELECT p_partkey, CASE p_size % 15 WHEN 0 THEN 'FAT filesystem (MS-DOS, OS/2, NT/Win32)' WHEN 1 THEN 'Amiga' WHEN 2 THEN 'VMS (or OpenVMS)' WHEN 3 THEN 'Unix' WHEN 4 THEN 'VM/CMS' WHEN 5 THEN 'Atari TOS' WHEN 6 THEN 'HPFS filesystem (OS/2, NT)'
 WHEN 7 THEN 'Macintosh' WHEN 8 THEN 'Z-System' WHEN 9 THEN 'CP/M' WHEN 10 THEN 'TOPS-20' WHEN 11 THEN 'NTFS filesystem (NT)' WHEN 12 THEN 'QDOS' WHEN 13 THEN 'Acorn RISCOS' WHEN 14 THEN 'undefined (14)' END AS os,
 CASE p_size % 5 WHEN 0 THEN 'none' WHEN 2 THEN 'compressor used maximum compression, slowest algorithm' WHEN 4 THEN 'compressor used fastest algorithm' ELSE printf('undefined (%d)', p_size % 5) END AS xfl FROM part""")
-def os_flag_lookup_whole(spark: SparkSession, d: str) -> DataFrame:
+def os_flag_lookup(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part")
     return rows.select("p_partkey", c.lookup(F.col("p_size") % 15, c.OPERATING_SYSTEMS).alias("os"), c.lookup(F.col("p_size") % 5, c.EXTRA_FLAGS).alias("xfl"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'finished' WHEN event_id % 7 = 0 THEN 'consumer_bound' WHEN user_id % 3 <> 0 AND event_id % 5 >= event_id % 4 THEN 'decoder_bound' WHEN event_id % 2 = 0 THEN 'converged' WHEN event_id % 5 = 0 AND user_id % 3 = 0 THEN 'idle' ELSE 'starting' END AS pressure, least(greatest(event_id % 9, 2), 6)::BIGINT AS workers FROM events")
-def pressure_classification(spark: SparkSession, d: str) -> DataFrame:
-    e, u = F.col("event_id"), F.col("user_id")
-    kind = c.pressure(e % 13 == 0, e % 7 == 0, u % 3, e % 5, e % 4, F.when(e % 2 == 0, 1))
-    return table(spark, d, "events").select("event_id", kind.alias("pressure"), c.worker_limit(e % 9, F.lit(2), F.lit(6), F.lit(False)).cast("long").alias("workers"))
-
-
-@query("SELECT doc_id, replace(replace(left(text, 80), '|', '\\|'), chr(10), ' ') AS cell, replace(left(text, 80), chr(10), ' ') AS clean, 'a/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '.txt.out' END AS target FROM documents")
-def text_cleaning(spark: SparkSession, d: str) -> DataFrame:
-    t = F.left(F.col("text"), F.lit(80))
-    path = F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".GZ").otherwise(".txt"))
-    return table(spark, d, "documents").select("doc_id", c.markdown_cell(t).alias("cell"), c.sanitized(t).alias("clean"), c.output_path(path).alias("target"))
-
-
 @query("SELECT doc_id, replace(replace(replace(text, '|', '\\|'), chr(10), ' '), chr(13), ' ') AS cell, replace(replace(replace(text, chr(9), ' '), chr(10), ' '), chr(13), ' ') AS clean, 'a/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '.txt.out' END AS target FROM documents")
-def text_cleaning_whole(spark: SparkSession, d: str) -> DataFrame:
+def text_cleaning(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".GZ").otherwise(".txt"))
     return table(spark, d, "documents").select("doc_id", c.markdown_cell(F.col("text")).alias("cell"), c.sanitized(F.col("text")).alias("clean"), c.output_path(path).alias("target"))
 
 
-@query("SELECT o_orderkey, greatest(1 + o_orderkey % 40, 1)::BIGINT AS workers, CASE WHEN 1 + o_orderkey % 40 <= 4 THEN 1 + o_orderkey % 40 ELSE least(1 + o_orderkey % 40, ceil(sqrt(4 * (1 + o_orderkey % 40))))::BIGINT END AS bootstrap, (1 + o_orderkey % 40) >= 2 AND o_custkey % 100 >= 16 AND o_custkey % 100 >= 2 * (1 + o_orderkey % 40) AS probe, greatest(least(1048576, ceil(o_custkey * 1000.0 / greatest(2 * (1 + o_orderkey % 40), 1)))::BIGINT, 32768) AS span, CASE WHEN o_custkey <= 4096 THEN 4 ELSE 1 END AS members FROM orders")
-def admission_rules(spark: SparkSession, d: str) -> DataFrame:
-    w = 1 + F.col("o_orderkey") % 40
-    k = F.col("o_custkey")
-    return table(spark, d, "orders").select("o_orderkey", w.alias("workers"), c.bootstrap_workers(w, F.lit(64).cast("long")).alias("bootstrap"), c.should_probe(w, k % 100).alias("probe"), c.task_span(k * 1000, F.lit(1048576), w).alias("span"), c.task_members(k, F.lit(1048576)).alias("members"))
-
-
 # Telemetry
 
 
@@ -436,7 +397,7 @@ def telemetry_windows(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS samples, max(value) AS most FROM events GROUP BY ALL")
 def telemetry_windows_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same query as a stream over the table's files, run to its end."""
-    return streams.telemetry_windows_stream(spark, f"{d}/events.parquet", "1 hour").select(F.col("window.start").alias("start"), "event_type", "samples", "most")
+    return streams.telemetry_windows_stream(spark, f"{d}/events.parquet", "1 hour", shared_dir(spark)).select(F.col("window.start").alias("start"), "event_type", "samples", "most")
 
 
 # What Spark gives beside
@@ -475,16 +436,44 @@ def index_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("SELECT doc_id::VARCHAR AS file_id, octet_length(encode(text))::BIGINT AS bytes, true AS agree FROM documents WHERE octet_length(encode(text)) > 0")
+@query("SELECT doc_id::VARCHAR AS file_id, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, true AS agree FROM documents")
 def decode_inside_streams(spark: SparkSession, d: str) -> DataFrame:
     """Whole texts as one member each, decoded span by span from block starts at any bit, with windows; agree compares the combined CRC-32."""
-    docs = table(spark, d, "documents").where("octet_length(text) > 0")
+    docs = table(spark, d, "documents")
     files = document_archives(docs, member_bytes=1 << 30)
     points = block_table(files).where("uncompressed_size > 0").select("file_id", F.col("index_in_stream").alias("ordinal"), "compressed_offset_bits", "uncompressed_offset", F.col("uncompressed_size").alias("expected_size"), (F.col("compressed_offset_bits") + F.col("compressed_size_bits")).alias("next_bits"))
     pieces = resume.decode_points(files, resume.windows_at(files, points))
-    whole = docs.select(F.col("doc_id").cast("string").alias("file_id"), F.crc32(F.col("text").cast("binary")).alias("whole"))
-    found = checksums.combined_crc32(pieces, ["file_id"], "ordinal", "bytes").join(whole, "file_id")
-    return found.select("file_id", "bytes", (F.col("crc32") == F.col("whole")).alias("agree"))
+    return _whole_crc(docs, checksums.combined_crc32(pieces, ["file_id"], "ordinal", "bytes"))
+
+
+def _whole_crc(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """found (file_id, bytes, crc32) beside the whole texts; a text without bytes has no row there and a CRC-32 of 0."""
+    whole = docs.select(F.col("doc_id").cast("string").alias("file_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("whole"))
+    rows = whole.join(found, "file_id", "left").select("file_id", F.coalesce("bytes", F.lit(0)).alias("bytes"), "whole", F.coalesce("crc32", F.lit(0)).alias("crc32"))
+    return rows.select("file_id", "bytes", (F.col("crc32") == F.col("whole")).alias("agree"))
+
+
+@query(SQL["range_extract"])
+def range_extract_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The ranges of range_extract from whole texts as one member each, by an index of points inside the streams."""
+    files = document_archives(table(spark, d, "documents"), member_bytes=1 << 30, memory=1)
+    index = actions.import_index(actions.export_index(files, spacing=2048))
+    return actions.cut(files, SPEC, index=index).groupBy("file_id", "range_ord").agg(F.sum(F.octet_length("bytes")).alias("bytes"))
+
+
+@query()
+def index_inside_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Every point of an index that was written and read again; agree compares its window and lines with the text itself."""
+    docs = table(spark, d, "documents")
+    files = document_archives(docs, member_bytes=1 << 30, memory=1)
+    points, windows, _ = actions.import_index(actions.export_index(files, spacing=2048))
+    rows = points.join(windows.select("file_id", "compressed_offset_bits", "payload"), ["file_id", "compressed_offset_bits"], "left")
+    rows = rows.join(docs.select(F.col("doc_id").cast("string").alias("file_id"), F.coalesce("text", F.lit("")).cast("binary").alias("t")), "file_id")
+    at = F.col("uncompressed_offset").cast("int")
+    before = F.decode(F.substring("t", F.lit(1), at), "ISO-8859-1")
+    own = F.substring("t", F.greatest(at - resume.WINDOW, F.lit(0)) + 1, F.least(at, F.lit(resume.WINDOW)))
+    agree = F.when(F.col("kind") == "deflate_block", F.substring("payload", -F.octet_length(own), F.octet_length(own)) == own).otherwise(F.col("payload").isNull()) & (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) == F.col("line_offset"))
+    return rows.select("file_id", "ordinal", "compressed_offset_bits", "uncompressed_offset", "kind", agree.alias("agree"))
 
 
 @query()
@@ -499,10 +488,12 @@ def line_offsets_at_checkpoints(spark: SparkSession, d: str) -> DataFrame:
     return indexes.line_offsets_at(points, archives.line_table(files, "gzip")).select("file_id", "ordinal", "line_offset")
 
 
-@query("SELECT '' AS file_id, 0::BIGINT AS ordinal, 0::BIGINT AS imported, 0::BIGINT AS counted WHERE false")
+@query(f"WITH {L}, m AS (SELECT file_id, unnest(range(0, greatest(1, (n + 4095) // 4096))) AS ordinal FROM d), c AS (SELECT file_id, ordinal, (SELECT count(*) FROM nl WHERE nl.file_id = m.file_id AND nl.pos < ordinal * 4096) AS counted FROM m WHERE ordinal % 2 = 1) SELECT file_id, ordinal, counted + 1 AS imported, counted FROM c")
 def line_index_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    """Every other point has one line too many."""
     files = files_of(spark, d)
-    return indexes.line_mismatches(archives.checkpoints_of(archives.member_table(files, "gzip")), archives.line_table(files, "gzip"))
+    points = archives.checkpoints_of(archives.member_table(files, "gzip"))
+    return indexes.line_mismatches(points.withColumn("line_offset", F.col("line_offset") + F.col("ordinal") % 2), archives.line_table(files, "gzip"))
 
 
 @query("SELECT user_id, count(*) AS sessions, sum(k)::BIGINT AS samples FROM (SELECT user_id, s, count(*) AS k FROM (SELECT user_id, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS o FROM events)) GROUP BY user_id, s) GROUP BY user_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -16,13 +18,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def gzip_member(data: bytes, level: int = 6) -> bytes:
-    z = zlib.compressobj(level, zlib.DEFLATED, -15)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new temporary one on a local master."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or "file://" + tempfile.mkdtemp(prefix="shared-")).rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: what is read more than once is computed once, and a lost executor costs a read."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def gzip_member(data: bytes, level: int = 6, memory: int = 8) -> bytes:
+    """One member; the less memory (1 to 9), the shorter its blocks."""
+    z = zlib.compressobj(level, zlib.DEFLATED, -15, memory)
     body = z.compress(data) + z.flush()
     return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + zlib.crc32(data).to_bytes(4, "little") + (len(data) & 0xFFFFFFFF).to_bytes(4, "little")
 
 
-def document_archives(docs: DataFrame, member_bytes: int = MEMBER_BYTES, level: int = 6) -> DataFrame:
+def document_archives(docs: DataFrame, member_bytes: int = MEMBER_BYTES, level: int = 6, memory: int = 8) -> DataFrame:
     """file_id (doc_id), source, content: the text's bytes as gzip members of `member_bytes` each, one for an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,7 +48,7 @@ def document_archives(docs: DataFrame, member_bytes: int = MEMBER_BYTES, level:
             out = []
             for text in batch.column("text"):
                 raw = (text.as_py() or "").encode()
-                out.append(b"".join(gzip_member(raw[i : i + member_bytes], level) for i in range(0, max(1, len(raw)), member_bytes)))
+                out.append(b"".join(gzip_member(raw[i : i + member_bytes], level, memory) for i in range(0, max(1, len(raw)), member_bytes)))
             yield pa.record_batch([batch.column("file_id"), batch.column("source"), pa.array(out, pa.binary())], ["file_id", "source", "content"])
 
     return docs.select(F.col("doc_id").cast("string").alias("file_id"), "source", "text").mapInArrow(run, "file_id string, source string, content binary")

@@ -11,8 +11,8 @@ MEMBERS = (
 )
 CHUNKS = "file_id string, member long, chunk long, uncompressed_offset long, bytes binary"
 BLOCKS = (
-    "file_id string, stream_index long, index_in_stream long, is_final boolean, block_type string, compressed_offset_bits long, compressed_size_bits long, uncompressed_offset long, uncompressed_size long, "
-    "precode array<int>, literal array<int>, distance array<int>, literal_symbols long, backreference_symbols long, copied_bytes long, farthest_backreference long, references array<struct<distance: int, length: int>>"
+    "file_id string, stream_index long, index_in_stream long, is_final boolean, block_type string, compressed_offset_bits long, compressed_data_offset_bits long, compressed_size_bits long, uncompressed_offset long, uncompressed_size long, "
+    "precode array<int>, literal array<int>, distance array<int>, literal_symbols long, backreference_symbols long, copied_bytes long, farthest_backreference long, window_backreference_count long, merged_window_backreference_count long, used_window_symbols long, omitted_backreference_count long, references array<struct<distance: int, length: int>>"
 )
 BENCH_RAW = (
     "timestamp_utc string, corpus string, mode string, tool string, backend string, threads int, repetition int, `order` int, wall_seconds double, user_seconds double, system_seconds double, max_rss_kib double, "

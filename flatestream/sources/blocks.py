@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from .members import Malformed, gzip_header
+from .members import Malformed, members
 
 # Fixed values of RFC 1951.
 LENGTH_BASE = [3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 15, 17, 19, 23, 27, 31, 35, 43, 51, 59, 67, 83, 99, 115, 131, 163, 195, 227, 258]
@@ -18,6 +18,7 @@ LENGTH_EXTRA = [0, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 4, 4
 DISTANCE_BASE = [1, 2, 3, 4, 5, 7, 9, 13, 17, 25, 33, 49, 65, 97, 129, 193, 257, 385, 513, 769, 1025, 1537, 2049, 3073, 4097, 6145, 8193, 12289, 16385, 24577]
 DISTANCE_EXTRA = [0, 0, 0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6, 7, 7, 8, 8, 9, 9, 10, 10, 11, 11, 12, 12, 13, 13]
 CODE_ORDER = [16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15]
+WINDOW = 32768
 KINDS = ["Uncompressed", "Fixed Huffman", "Dynamic Huffman"]
 
 
@@ -90,6 +91,7 @@ def stream_blocks(content: bytes, at: int) -> Iterator[dict]:
         start = bits.at
         final, kind = bool(bits.take(1)), bits.take(2)
         b = {"index_in_stream": i, "is_final": final, "compressed_offset_bits": start, "uncompressed_offset": out, "literal_symbols": 0, "backreference_symbols": 0, "copied_bytes": 0, "farthest_backreference": 0, "references": []}
+        window: list[tuple[int, int]] = []
         if kind == 3:
             raise Malformed("invalid_data", start >> 3)
         b["block_type"] = KINDS[kind]
@@ -98,6 +100,7 @@ def stream_blocks(content: bytes, at: int) -> Iterator[dict]:
             size, inverse = bits.take(16), bits.take(16)
             if size ^ inverse != 0xFFFF:
                 raise Malformed("invalid_data", bits.at >> 3)
+            b["compressed_data_offset_bits"] = bits.at
             bits.at += 8 * size
             if bits.at > 8 * len(content):
                 raise Malformed("truncated", len(content))
@@ -108,6 +111,7 @@ def stream_blocks(content: bytes, at: int) -> Iterator[dict]:
             else:
                 b["precode"], literal, distance = code_lengths(bits)
                 b["literal"], b["distance"] = literal, distance
+            b["compressed_data_offset_bits"] = bits.at
             first, second = table_of(literal), table_of(distance)
             while (s := symbol(bits, first)) != 256:
                 if s < 256:
@@ -129,7 +133,15 @@ def stream_blocks(content: bytes, at: int) -> Iterator[dict]:
                 if reach > 0:
                     b["farthest_backreference"] = max(b["farthest_backreference"], reach)
                     b["references"].append({"distance": reach, "length": min(length, reach)})
+                    window.append((-reach, min(length, reach) - reach))
                 out += length
+        b["window_backreference_count"] = len(window)
+        b["merged_window_backreference_count"] = b["used_window_symbols"] = 0
+        reached = -WINDOW - 1
+        for low, high in sorted(window):
+            b["merged_window_backreference_count"] += low > reached
+            b["used_window_symbols"] += max(0, high - max(low, reached))
+            reached = max(reached, high)
         b["compressed_size_bits"] = bits.at - start
         b["uncompressed_size"] = out - b["uncompressed_offset"]
         b["end"] = (bits.at + 7) >> 3
@@ -137,27 +149,47 @@ def stream_blocks(content: bytes, at: int) -> Iterator[dict]:
         yield b
 
 
-def block_table(files: DataFrame) -> DataFrame:
-    """One row for each block of gzip files; references are those into the bytes before the block, by their distance from its start.
+def block_table(files: DataFrame, format: str = "auto", details: int | None = None, most_streams: int | None = None, most_blocks: int | None = None) -> DataFrame:
+    """One row for each block of gzip, zlib or raw DEFLATE files; references are those into the bytes before the block, by their distance from its start.
 
-    Raises at a fault. uncompressed_offset counts from the start of the stream.
+    Every stream is decoded and held against its footer first; raises at a fault. uncompressed_offset counts from the start of the stream.
+    Of a file's references the first `details` are listed, the number of others is omitted_backreference_count; the counts beside
+    cover all of them. A file of more streams or blocks than allowed fails the job.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema.BLOCKS))
 
+    def own_blocks(file_id: str, content: bytes) -> Iterator[dict]:
+        stream = blocks = 0
+        left = details
+        for m, data in members(content, format):
+            if data is not None:
+                continue
+            if most_streams is not None and stream >= most_streams:
+                raise ValueError(f"{file_id}: more than {most_streams} streams")
+            for b in stream_blocks(content, m.deflate_offset):
+                end, blocks = b.pop("end"), blocks + 1
+                if most_blocks is not None and blocks > most_blocks:
+                    raise ValueError(f"{file_id}: more than {most_blocks} blocks")
+                b["omitted_backreference_count"] = 0
+                if left is not None:
+                    b["omitted_backreference_count"] = max(0, len(b["references"]) - left)
+                    b["references"] = b["references"][:left]
+                    left -= len(b["references"])
+                yield b | {"file_id": file_id, "stream_index": stream}
+            if end != m.footer_offset:
+                raise Malformed("invalid_data", end)
+            stream += 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                content, at, stream, rows = content.as_py() or b"", 0, 0, []
+                rows = []
                 try:
-                    while at < len(content) or not stream:
-                        start, _ = gzip_header(content, at)
-                        for b in stream_blocks(content, start):
-                            at = b.pop("end") + 8
-                            rows.append(b | {"file_id": file_id, "stream_index": stream})
-                        stream += 1
+                    for row in own_blocks(file_id, content.as_py() or b""):
+                        rows.append(row)
                         if len(rows) >= 1000:
                             yield pa.RecordBatch.from_pylist(rows, arrow)
                             rows = []

@@ -12,12 +12,14 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from .members import Malformed, gzip_header, members
 
 TABLES = {"chunks": "file_id string, start_byte long, piece long, bytes binary", "members": "file_id string, header_offset long, end_offset long, uncompressed_size long, newlines long, crc32 long"}
+MOST_BLOCK = 1 << 16  # bytes of a BGZF block
 REFUSED = {"no-verify": "output is always verified", "sparse-windows": "windows are whole", "io-read-method": "Spark reads the files"}
 
 
@@ -28,54 +30,65 @@ class Part(InputPartition):
     end: int
 
 
-def bgzf_cuts(path: str, span: int) -> list[int]:
-    """Block edges about `span` bytes apart, from the sizes in the headers; only both ends where a header has none."""
-    size = os.path.getsize(path)
-    cuts, at = [0], 0
-    with open(path, "rb") as f:
-        while at < size:
-            f.seek(at)
-            head = f.read(18)
-            extra = int.from_bytes(head[10:12], "little")
-            head += f.read(max(0, extra - 6))
-            try:
-                own = gzip_header(head + b"\0\0", 0)[1].get("bgzf_block_size")
-            except Malformed:
-                own = None
-            if not own:
-                return [0, size]
-            at += own
-            if at - cuts[-1] >= span and at < size:
-                cuts.append(at)
-    return [*cuts, size] if at == size else [0, size]
+def block_size(data: bytes, at: int) -> int | None:
+    """Size of the BGZF block whose header is at a place, or None where there is no such header."""
+    if data[at : at + 4] != b"\x1f\x8b\x08\x04":
+        return None
+    try:
+        return gzip_header(data, at)[1].get("bgzf_block_size")
+    except Malformed:
+        return None
+
+
+def first_block(f: BinaryIO, at: int, size: int) -> int:
+    """The first BGZF block at or after a byte: a header whose size leads to another header, or to the end of the file."""
+    while at < size:
+        f.seek(at)
+        data = f.read(3 * MOST_BLOCK)
+        place = data.find(b"\x1f\x8b\x08\x04")
+        while 0 <= place < 2 * MOST_BLOCK:
+            own = block_size(data, place)
+            if own and (at + place + own == size or block_size(data, place + own)):
+                return at + place
+            place = data.find(b"\x1f\x8b\x08\x04", place + 1)
+        at += 2 * MOST_BLOCK
+    return size
 
 
 class DeflateReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.table, self.form = options.get("table", "chunks"), options.get("container", "auto")
         self.span, self.path = int(options.get("span", 16 << 20)), re.sub(r"^file:(//)?", "", options["path"])
-        self.pushed: list = []
 
     def partitions(self) -> list[Part]:
+        """A BGZF file is cut every `span` bytes, any other file is one part; the driver reads one header of each file, tasks find the block edges."""
         found = sorted(glob.glob(os.path.join(self.path, "*") if os.path.isdir(self.path) else self.path))
         if not found:
             raise FileNotFoundError(self.path)
         parts = []
         for path in found:
-            cuts = bgzf_cuts(path, self.span) if self.form in ("auto", "gzip") else [0, os.path.getsize(path)]
-            parts += [Part(path, a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+            size = os.path.getsize(path)
+            with open(path, "rb") as f:
+                blocks = self.form in ("auto", "gzip") and block_size(f.read(MOST_BLOCK), 0)
+            edges = [*range(0, size, self.span), size] if blocks else [0, size]
+            parts += [Part(path, a, b) for a, b in zip(edges, edges[1:], strict=False)] or [Part(path, 0, 0)]
         return parts
 
     def read(self, part: Part) -> Iterator[tuple]:
+        size = os.path.getsize(part.path)
         with open(part.path, "rb") as f:
-            f.seek(part.start)
-            content = f.read(part.end - part.start)
+            start = first_block(f, part.start, size) if part.start else 0
+            end = first_block(f, part.end, size) if part.end < size else size
+            if start >= end and part.start:
+                return
+            f.seek(start)
+            content = f.read(end - start)
         n = 0
         for m, data in members(content, self.form):
             if data is None and self.table == "members":
-                yield part.path, part.start + m.header_offset, part.start + m.end_offset, m.uncompressed_size, m.newlines, m.fields.get("crc32")
+                yield part.path, start + m.header_offset, start + m.end_offset, m.uncompressed_size, m.newlines, m.fields.get("crc32")
             elif data and self.table == "chunks":
-                yield part.path, part.start, n, data
+                yield part.path, start, n, data
                 n += 1
 
 

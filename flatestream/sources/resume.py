@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import CODE_ORDER
-from .members import members
+from .index_files import unpacked
+from .members import gzip_header, members, zlib_header
 
 WINDOW = 32768
 
@@ -57,38 +58,57 @@ def decode_at(content: bytes, bits: int, window: bytes, size: int) -> bytes:
 
 
 def windows_at(files: DataFrame, points: DataFrame) -> DataFrame:
-    """points (file_id, ordinal, uncompressed_offset, ...) with `payload`, the up to 32 KiB before each, from one decoding of a file."""
+    """points (file_id, ordinal, uncompressed_offset, ...) with `payload`, the up to 32 KiB before each, from one decoding of a file.
+
+    A file's offsets come together in one row; its windows leave the task piece by piece.
+    """
     wanted = points.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("uncompressed_offset", "ordinal"))).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                history, total, todo, found = b"", 0, list(row["at"]), []
+                history, total, todo, at = b"", 0, row["at"], 0
                 for _, data in members(row["content"]):
                     if not data:
                         continue
-                    while todo and todo[0]["uncompressed_offset"] <= total + len(data):
-                        p = todo.pop(0)
-                        have = history + data[: p["uncompressed_offset"] - total]
-                        found.append((p["ordinal"], have[-WINDOW:]))
+                    found = []
+                    while at < len(todo) and todo[at]["uncompressed_offset"] <= total + len(data):
+                        off = todo[at]["uncompressed_offset"] - total
+                        found.append((todo[at]["ordinal"], (history + data[max(0, off - WINDOW) : off])[-WINDOW:]))
+                        at += 1
                     history, total = (history + data)[-WINDOW:], total + len(data)
-                yield pa.record_batch([pa.array([row["file_id"]] * len(found), pa.string()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["file_id", "ordinal", "payload"])
+                    if found:
+                        yield pa.record_batch([pa.array([row["file_id"]] * len(found), pa.string()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["file_id", "ordinal", "payload"])
+                if at < len(todo):
+                    rest = [t["ordinal"] for t in todo[at:] if t["uncompressed_offset"] == total]
+                    yield pa.record_batch([pa.array([row["file_id"]] * len(rest), pa.string()), pa.array(rest, pa.int64()), pa.array([history] * len(rest), pa.binary())], ["file_id", "ordinal", "payload"])
 
     rows = wanted.join(files.select("file_id", "content"), "file_id").mapInArrow(run, "file_id string, ordinal long, payload binary")
     return points.join(rows, ["file_id", "ordinal"])
 
 
 def decode_points(files: DataFrame, points: DataFrame) -> DataFrame:
-    """file_id, ordinal, expected_size, bytes: each span decoded on its own, from its bit and window; next_bits bounds what is read."""
+    """file_id, ordinal, expected_size, bytes: each span decoded on its own, from its bit and window; next_bits bounds what is read.
+
+    points may have kind, for spans that start at a member's header, and is_compressed, for windows as an index file holds them.
+    """
+
+    def one(r: dict) -> bytes:
+        bit, kind = r["bit"], r["kind"]
+        if kind in ("gzip_member_header", "zlib_header"):
+            bit = 8 * (gzip_header if kind == "gzip_member_header" else zlib_header)(r["part"], 0)[0]
+        window = unpacked(r["payload"], True) if r["payload"] and r["is_compressed"] else r["payload"] or b""
+        return decode_at(r["part"], bit, window, r["expected_size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.select(["part", "bit", "payload", "expected_size"]).to_pylist()
-            out = [decode_at(r["part"], r["bit"], r["payload"] or b"", r["expected_size"]) for r in rows]
-            yield pa.record_batch([batch.column("file_id"), batch.column("ordinal"), batch.column("expected_size"), pa.array(out, pa.binary())], ["file_id", "ordinal", "expected_size", "bytes"])
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1)
+                yield pa.record_batch([r.column("file_id"), r.column("ordinal"), r.column("expected_size"), pa.array([one(r.to_pylist()[0])], pa.binary())], ["file_id", "ordinal", "expected_size", "bytes"])
 
     first = F.shiftright("compressed_offset_bits", 3).cast("int")
     last = F.coalesce(F.shiftright(F.col("next_bits") + 7, 3), F.octet_length("content").cast("long")).cast("int")
-    rows = points.join(files.select("file_id", "content"), "file_id")
-    rows = rows.select("file_id", "ordinal", "expected_size", "payload", (F.col("compressed_offset_bits") % 8).cast("int").alias("bit"), F.substring("content", first + 1, last - first).alias("part"))
+    given = {c: F.col(c) if c in points.columns else F.lit(None).cast(t) for c, t in (("kind", "string"), ("is_compressed", "boolean"))}
+    rows = points.withColumns(given).join(files.select("file_id", "content"), "file_id")
+    rows = rows.select("file_id", "ordinal", "expected_size", "payload", "kind", "is_compressed", (F.col("compressed_offset_bits") % 8).cast("int").alias("bit"), F.substring("content", first + 1, last - first).alias("part"))
     return rows.mapInArrow(run, "file_id string, ordinal long, expected_size long, bytes binary")

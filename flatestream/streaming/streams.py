@@ -1,15 +1,11 @@
-"""Structured Streaming: archives as they arrive, telemetry windows with late data, and byte-tumbling service rates."""
+"""Structured Streaming: archives as they arrive, telemetry windows, sessions and first arrivals with late data."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from statistics import median
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def arriving_archives(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -46,44 +42,24 @@ def finished(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def telemetry_windows_stream(spark: SparkSession, path: str, width: str) -> DataFrame:
-    """telemetry_windows as a stream over the files of a table, every window emitted once, by complete mode."""
-    layout = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    rows = spark.readStream.schema(layout).option("recursiveFileLookup", "true").parquet(f"{folder}/{name.replace('.parquet', '.parquet*')}")
-    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
-    view = f"telemetry_{uuid.uuid4().hex}"
-    query = telemetry_windows(rows, width).writeStream.format("memory").queryName(view).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    ends = F.struct(F.col("window.start").cast("timestamp_ntz").alias("start"), F.col("window.end").cast("timestamp_ntz").alias("end"))
-    return spark.table(view).withColumn("window", ends)
-
-
-def service_rates(samples: DataFrame, sample_bytes: int = 4 << 20, of: int = 5) -> DataFrame:
-    """decoder_id, closed, rate: the median rate of the last `of` intervals, each closed by `sample_bytes`, of one generation.
+def telemetry_windows_stream(spark: SparkSession, path: str, width: str, folder: str) -> DataFrame:
+    """telemetry_windows as a stream over the files of a table, run to its end.
 
-    samples (decoder_id, generation, ts, bytes, seconds), as a stream. Work of an older generation than the newest seen is dropped;
-    a new generation starts anew.
+    Each batch appends the windows it changed to files in `folder`, that all executors share; a window's row is that of its last batch. So neither
+    the driver nor memory holds the windows, and those that the watermark hasn't closed are there too.
     """
+    at = f"{folder}/{uuid.uuid4().hex}"
+    layout = spark.read.parquet(path).schema
+    base, _, name = path.rpartition("/")
+    rows = spark.readStream.schema(layout).option("recursiveFileLookup", "true").parquet(f"{base}/{name.replace('.parquet', '.parquet*')}")
+    rows = telemetry_windows(rows.withColumn("ts", F.col("ts").cast("timestamp")), width)
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")  # a repeated batch replaces its own rows
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        generation, held, took, rates, closed = state.get if state.exists else (-1, 0, 0.0, [], 0)
-        rates, out = list(rates), []
-        for f in frames:
-            for row in f.sort_values(["generation", "ts"]).itertuples():
-                if row.generation < generation:
-                    continue
-                if row.generation > generation:
-                    generation, held, took, rates = int(row.generation), 0, 0.0, []
-                held, took = held + int(row.bytes), took + float(row.seconds)
-                if held >= sample_bytes:
-                    rates = [*rates, held / took if took else 0.0][-of:]
-                    held, took, closed = 0, 0.0, closed + 1
-                    if len(rates) == of:
-                        out.append((key[0], closed, median(rates)))
-        state.update((generation, held, took, rates, closed))
-        yield pd.DataFrame(out, columns=["decoder_id", "closed", "rate"])
-
-    return samples.groupBy("decoder_id").applyInPandasWithState(
-        step, "decoder_id string, closed long, rate double", "generation long, held long, took double, rates array<double>, closed long", "append", GroupStateTimeout.NoTimeout
-    )
+    query = rows.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(append).trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.schema(rows.schema.add("batch", "long")).parquet(f"{at}/rows")
+    last = found.groupBy("window", "event_type").agg(F.max_by(F.struct("samples", "most"), "batch").alias("x"))
+    ends = F.struct(F.col("window.start").cast("timestamp_ntz").alias("start"), F.col("window.end").cast("timestamp_ntz").alias("end"))
+    return last.select(ends.alias("window"), "event_type", "x.samples", "x.most")

@@ -1,9 +1,11 @@
 """Operators against brute force on small random tables."""
 
 import random
+import struct
 from statistics import median
 
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -81,30 +83,14 @@ def test_parse_ranges(spark):
             ranges.parse_ranges(spark, bad).collect()
 
 
-def test_fair_shares(spark):
-    rng = random.Random(3)
-    for slots in (0, 1, 7, 100):
-        want = {f"n{i:02}": rng.randrange(6) for i in range(9)}
-        start, given, left = 4, dict.fromkeys(want, 0), slots
-        names = sorted(want)
-        while left and any(given[n] < want[n] for n in names):
-            for i in range(9):
-                n = names[(start + i) % 9]
-                if left and given[n] < want[n]:
-                    given[n], left = given[n] + 1, left - 1
-        df = spark.createDataFrame(list(want.items()), "name string, wanted long")
-        assert {r.name: r.granted for r in grouping.fair_shares(df, "name", "wanted", slots, start).collect()} == given
-
-
 def test_column_functions(spark):
     row = spark.range(1).select(
         c.bytes_text(F.lit(0)).alias("zero"), c.bytes_text(F.lit((3 << 60) + (1 << 40) + 5)).alias("big"), c.bits_text(F.lit(17)).alias("bits"), c.escaped_bytes(F.lit(b"a\x00~\xff")).alias("esc"),
-        c.percentage(F.lit(1), F.lit(0)).alias("none"), c.screen_admits(F.lit(2), F.lit(262144), F.lit(10), F.lit(262144), F.lit(30)).alias("no"), c.screen_admits(F.lit(6), F.lit(262144), F.lit(10), F.lit(262144), F.lit(30)).alias("yes"),
+        c.percentage(F.lit(1), F.lit(0)).alias("none"), c.compression_ratio(F.lit(10), F.lit(16)).alias("ratio"), c.throughput(F.lit(1 << 21), F.lit(2.0)).alias("speed"), c.alphabet_text(F.array(*[F.lit(x) for x in (0, 2, 2, 1, 0)])).alias("shape"), c.alphabet_text(F.array(F.lit(0))).alias("unused"), c.counts_by_length(F.array(F.lit(1), F.lit(3), F.lit(3)), 3).alias("by"),
         c.looks_like_gzi(F.lit((2).to_bytes(8, "little") + bytes(8)), F.lit(40)).alias("gzi"), c.bar(F.lit(5), F.lit(10)).alias("bar"),
-        c.backlog_pressure(F.lit(100), F.lit(0), F.lit(10), F.lit(2), F.lit(True)).alias("p"),
     ).first()
-    assert (row.zero, row.big, row.bits, row.esc, row.none, row.no, row.yes, row.gzi, row.bar) == ("0 B", "3 EiB 1 TiB 5 B", "2 B 1 b", "a\\x00~\\xff", 0.0, False, True, True, "=" * 10)
-    assert (row.p.start, row.p.clear) == (True, False)
+    assert (row.zero, row.big, row.bits, row.esc, row.none, row.gzi, row.bar) == ("0 B", "3 EiB 1 TiB 5 B", "2 B 1 b", "a\\x00~\\xff", 0.0, True, "=" * 10)
+    assert (row.ratio, row.speed, row.shape, row.unused, row.by) == (5.0, 1.0, "3 of 5 used, lengths 1 to 2 (1:1, 2:2)", "unused", [1, 0, 2])
     with pytest.raises(Exception):
         spark.range(1).select(c.decode_bit_offset(F.lit(0).cast("long"), F.lit(3))).collect()
     values = [0.0, 1.0, 1e-5, 123456.0, 1234567.0, 0.1 + 0.2, -2.5, 1e300]
@@ -112,15 +98,6 @@ def test_column_functions(spark):
     assert all(r.t == f"{r.v:.6g}".replace("e+0", "e+0") for r in got)
 
 
-def test_service_rates(spark, tmp_path):
-    rows = [("d", 1, i, 100, 1.0 + i % 3) for i in range(12)] + [("d", 0, 50, 100, 9.0)] + [("e", 1, 1, 100, 1.0)]
-    spark.createDataFrame(rows, "decoder_id string, generation long, ts long, bytes long, seconds double").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("decoder_id string, generation long, ts long, bytes long, seconds double").parquet(f"{tmp_path}/in")
-    got = streams.finished(streams.service_rates(stream, sample_bytes=200, of=3), f"file://{tmp_path}/out").collect()
-    rates = [200 / ((1.0 + i % 3) + (1.0 + (i + 1) % 3)) for i in range(0, 12, 2)]
-    assert sorted((r.closed, round(r.rate, 9)) for r in got) == [(i + 1, round(median(rates[i - 2 : i + 1]), 9)) for i in range(2, 6)]
-
-
 def test_archive_stream_and_late_data(spark, tmp_path):
     from flatestream.plans.views import gzip_member
     from flatestream.sources.archives import decode_report, member_table
@@ -179,3 +156,26 @@ def test_first_arrivals(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     assert sorted(r.key for r in streams.finished(streams.first_arrivals(stream, "key"), f"file://{tmp_path}/out").collect()) == [1, 2]
+
+
+def test_bootstrap_by_brute_force(spark):
+    def draw(seed, i, j):
+        h = 42
+        for form, v in (("<i", seed), ("<q", i), ("<i", j)):
+            h = xxhash.xxh64_intdigest(struct.pack(form, v), seed=h)
+        return h - (1 << 64) if h >> 63 else h
+
+    values = sorted([3.0, 1.5, 8.25, 2.0, 2.0, 7.5, 0.5])
+    n, rounds = len(values), 200
+    medians = sorted(median(values[draw(4, i, j) % n] for j in range(n)) for i in range(rounds))
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    assert statistics.bootstrap_median_upper(df, "v", seed=4, iterations=rounds).first().upper == medians[min(rounds - 1, int(rounds * 0.95))]
+
+
+def test_stream_of_windows_leaves_rows_in_files(spark, tmp_path):
+    rows = spark.range(500).selectExpr("timestamp_seconds(id * 97) ts", "concat('t', id % 3) event_type", "cast(id as double) value")
+    rows.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = streams.telemetry_windows_stream(spark, f"file://{tmp_path}/events.parquet", "1 hour", f"file://{tmp_path}/out")
+    want = streams.telemetry_windows(rows, "1 hour")
+    key = lambda df: sorted((r.window.start, r.event_type, r.samples, r.most) for r in df.collect())
+    assert key(got) == key(want)

@@ -9,7 +9,7 @@ from flatestream.plans import actions
 from flatestream.plans.views import gzip_member
 from flatestream.sources import archives, resume
 from flatestream.sources.blocks import stream_blocks
-from flatestream.sources.datasource import DeflateSource, FileSink, bgzf_cuts
+from flatestream.sources.datasource import DeflateSource, FileSink, first_block
 from flatestream.sources.index_files import byte_of, bits_of, index_files, index_table, read_index, write_index
 from flatestream.sources.resume import EMPTY, decode_at
 
@@ -32,6 +32,14 @@ def bgzf(data, size=1000):
     return out
 
 
+def bgzf_starts(whole):
+    at, out = 0, []
+    while at < len(whole):
+        out.append(at)
+        at += int.from_bytes(whole[at + 16 : at + 18], "little") + 1
+    return out
+
+
 @pytest.mark.parametrize("form, lines, has", [("native", True, True), ("gzidx", False, True), ("gztool", False, True), ("gztool-lines", True, True)])
 def test_index_round_trip(form, lines, has):
     data = write_index(META, POINTS, form)
@@ -106,7 +114,8 @@ def test_sources_and_sink(spark, tmp_path):
     whole = bgzf(TEXT)
     (tmp_path / "in/a.gz").write_bytes(whole)
     (tmp_path / "in/b.z").write_bytes(zlib.compress(b"one\ntwo"))
-    assert len(bgzf_cuts(f"{tmp_path}/in/a.gz", 20_000)) > 3
+    with open(f"{tmp_path}/in/a.gz", "rb") as f:
+        assert {first_block(f, x, len(whole)) for x in range(0, len(whole), 777)} < set(bgzf_starts(whole)) | {len(whole)}
     rows = spark.read.format("deflate").option("span", 20_000).load(f"{tmp_path}/in")
     got = rows.orderBy("file_id", "start_byte", "piece").collect()
     assert b"".join(r.bytes for r in got if r.file_id.endswith("a.gz")) == TEXT and rows.rdd.getNumPartitions() > 3
@@ -157,3 +166,80 @@ def test_line_table_of_odd_files(spark):
     files = spark.createDataFrame([("a", gzip_member(b"")), ("b", gzip_member(b"\n") + gzip_member(b"\r\nx")), ("c", zlib.compress(b"q"))], "file_id string, content binary")
     got = sorted((r.file_id, r.line, r.byte_offset, r.terminated, bytes(r.text)) for r in archives.line_table(files).collect())
     assert got == [("b", 0, 0, True, b""), ("b", 1, 1, True, b"\r"), ("b", 2, 3, False, b"x"), ("c", 0, 0, False, b"q")]
+
+
+def test_ranges_by_index_equal_those_by_decoding(spark):
+    rng = random.Random(3)
+    texts = {"a": TEXT[:90_000], "b": b"\n" * 50 + TEXT[:40_000], "c": b"", "d": b"one line"}
+    files = spark.createDataFrame([(k, gzip_member(t, 6, 2) if k != "b" else gzip_member(t[:9000]) + gzip_member(t[9000:], 6, 1)) for k, t in texts.items()], "file_id string, content binary")
+    index = actions.import_index(actions.export_index(files, "native", spacing=6000))
+    assert index[0].where("kind = 'deflate_block'").count() > 5 and actions.indexes.index_violations(*index).count() == 0
+    spec = ["10@0", "inf@0", "3L@0", "0@5", "4L@20", "inf@40L", "7@999999", "2L@999999L", "1L@60"] + [f"{rng.randrange(30_000)}@{rng.randrange(90_000)}" for _ in range(4)] + [f"{rng.randrange(900)}L@{rng.randrange(9000)}L" for _ in range(4)] + [f"{rng.randrange(500)}L@{rng.randrange(80_000)}" for _ in range(4)]
+
+    def joined(rows):
+        out = {}
+        for r in rows.orderBy("range_ord", "chunk").collect():
+            out[r.file_id, r.range_ord] = out.get((r.file_id, r.range_ord), b"") + bytes(r.bytes)
+        return out
+
+    got = joined(actions.cut(files, ",".join(spec), index=index))
+    assert got == joined(actions.cut(files, ",".join(spec)))
+    for i, (size, at) in enumerate(x.split("@") for x in spec):
+        for k, t in texts.items():
+            breaks = [j + 1 for j in range(len(t)) if t[j : j + 1] == b"\n"]
+            line = lambda n: 0 if n == 0 else breaks[n - 1] if n <= len(breaks) else len(t)
+            start = line(int(at[:-1])) if at.endswith("L") else min(int(at), len(t))
+            if size == "inf":
+                end = len(t)
+            elif size.endswith("L"):
+                end = start if size == "0L" else max(start, line(sum(b <= start for b in breaks) + int(size[:-1])))
+            else:
+                end = min(len(t), start + int(size))
+            assert got.get((k, i), b"") == t[start:end], (k, spec[i])
+
+
+def test_gztool_index_of_one_member(spark):
+    files = spark.createDataFrame([("f", gzip_member(TEXT, 6, 2))], "file_id string, content binary")
+    for form in ("gzidx", "gztool", "gztool-lines"):
+        points, windows, meta = actions.import_index(actions.export_index(files, form, spacing=20_000))
+        rows = {r.compressed_offset_bits: r for r in points.collect()}
+        assert len(rows) > 3
+        for w in windows.collect():
+            off = rows[w.compressed_offset_bits].uncompressed_offset
+            own = zlib.decompress(w.payload) if w.is_compressed else bytes(w.payload)
+            assert own[-min(off, 32768) :] == TEXT[max(0, off - 32768) : off]
+            if form == "gztool-lines":
+                assert rows[w.compressed_offset_bits].line_offset == TEXT[:off].count(b"\n")
+
+
+def test_blocks_of_all_formats_and_limits(spark):
+    from flatestream.sources.blocks import block_table
+
+    raw = zlib.compressobj(6, zlib.DEFLATED, -15)
+    raw = raw.compress(TEXT) + raw.flush()
+    for format, content in (("auto", gzip_member(TEXT) + gzip_member(b"x" * 500)), ("auto", zlib.compress(TEXT)), ("raw-deflate", raw)):
+        files = spark.createDataFrame([("f", content)], "file_id string, content binary")
+        rows = block_table(files, format).orderBy("stream_index", "index_in_stream").collect()
+        assert sum(r.uncompressed_size for r in rows) == len(TEXT) + (500 if format == "auto" and content[:2] == b"\x1f\x8b" else 0)
+        for r in rows:
+            covered = {x for ref in r.references for x in range(-ref.distance, ref.length - ref.distance)}
+            assert (r.used_window_symbols, r.window_backreference_count, r.omitted_backreference_count) == (len(covered), len(r.references), 0)
+            assert r.merged_window_backreference_count == sum(x - 1 not in covered for x in covered)
+            assert r.compressed_offset_bits < r.compressed_data_offset_bits <= r.compressed_offset_bits + r.compressed_size_bits
+        few = block_table(files, format, details=5).collect()
+        assert sum(len(r.references) for r in few) == 5 and sum(r.omitted_backreference_count for r in few) == sum(len(r.references) for r in rows) - 5
+        assert [actions.has_complete_details(block_table(files, format, n)).first().complete for n in (None, 5)] == [True, False]
+        lines = [r.line for r in actions.analyze(files, format).orderBy("ord").collect()]
+        assert lines[0].startswith("Stream 0") and any("literal:" in x for x in lines)
+    broken = bytearray(zlib.compress(TEXT))
+    broken[-1] ^= 1
+    for limit, content in (({}, bytes(broken)), ({"most_blocks": 1}, gzip_member(TEXT)), ({"most_streams": 1}, gzip_member(b"a") * 2)):
+        with pytest.raises(Exception):
+            block_table(spark.createDataFrame([("f", content)], "file_id string, content binary"), **limit).collect()
+
+
+def test_first_bytes_and_summary(spark):
+    files = spark.createDataFrame([("a", gzip_member(b"abc\n") + gzip_member(b"def")), ("b", gzip_member(b""))], "file_id string, content binary")
+    assert b"".join(bytes(r.bytes) for r in actions.first_bytes(files, 5).orderBy("chunk").collect()) == b"abc\nd"
+    row = actions.summary(files, seconds=0.5).first()
+    assert (row.files, row.member_count, row.decompressed_bytes, row.line_count) == (2, 3, 7, 1) and row.mib_per_second == 14 / (1 << 20)
