@@ -32,6 +32,24 @@ def decode_bit_offset(byte: Column, n: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("invalid bit offset")).cast("long")).otherwise(byte * 8 - n)
 
 
+def add_offset(base: Column, delta: Column) -> Column:
+    """base + delta; raises where that lies before byte 0 or beyond 64 bits."""
+    at = F.try_add(base, delta)
+    bad = base.isNotNull() & delta.isNotNull() & (at.isNull() | (at < 0))
+    return F.when(bad, F.raise_error(F.lit("position outside the decoded stream")).cast("long")).otherwise(at)
+
+
+def format_for_index(kind: Column) -> Column:
+    """The container that an index of a kind belongs to: BGZF files are gzip files."""
+    return F.when(kind == "bgzf", "gzip").otherwise(kind)
+
+
+def member_header_offset(kind: Column, bits: Column, header_offset: Column) -> Column:
+    """Byte of the member header that a checkpoint stands for; raises for one that isn't at a gzip member."""
+    other = F.raise_error(F.concat(F.lit("not at a member: "), kind)).cast("long")
+    return F.when(kind == "gzip_member_header", F.shiftright(bits, 3)).when(kind == "gzip_member_deflate", header_offset).otherwise(other)
+
+
 def lookup(code: Column, names: dict[int, str]) -> Column:
     """The name of a code, `undefined (code)` for others."""
     out = F.concat(F.lit("undefined ("), code.cast("string"), F.lit(")"))

@@ -118,3 +118,12 @@ def run_plan(tools: DataFrame, corpora: DataFrame, modes: DataFrame, threads: Da
     n = tools.count()
     plan = tools.crossJoin(corpora).crossJoin(modes).crossJoin(threads).crossJoin(tools.sparkSession.range(1, repetitions + 1).select(F.col("id").cast("int").alias("repetition")))
     return plan.withColumn("order", ((F.col("repetition") - 1 + F.col("tool_rank")) % n).cast("int"))
+
+
+def supported(plan: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows of a plan that a rule (tool, mode, format; null for any) allows. Rules are a small configuration table."""
+    p, r = plan.alias("p"), F.broadcast(rules).alias("r")
+    meets = F.col("p.tool") == F.col("r.tool")
+    for name in ("mode", "format"):
+        meets &= F.col(f"r.{name}").isNull() | (F.col(f"p.{name}") == F.col(f"r.{name}"))
+    return p.join(r, meets, "left_semi")

@@ -104,9 +104,30 @@ def _cut_by_index(files: DataFrame, request: DataFrame, points: DataFrame, windo
     lines = F.when(F.col("size") == 0, F.col("start")).otherwise(F.greatest("_e", "start"))
     end = F.when(F.col("size_kind") == "rest", F.col("uncompressed_size")).when(F.col("size_kind") == "lines", lines).otherwise(F.least(F.col("start") + F.col("size"), F.col("uncompressed_size")))
     bounds = stored(r.select("file_id", "range_ord", "start", end.alias("end")).where("end > start"), "bounds")
+    return _span_bytes(files, spans, bounds)
+
+
+def _span_bytes(files: DataFrame, spans: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The bytes of bounds (file_id, range_ord, start, end) from the spans that they touch, each decoded once."""
     touched = spans.select("file_id", "ordinal", F.col("uncompressed_offset").alias("_from"), "end_offset").join(bounds, "file_id").where("start < end_offset and end > _from")
-    chunks = decoded(touched).join(spans.select("file_id", "ordinal", "uncompressed_offset"), ["file_id", "ordinal"]).withColumnRenamed("ordinal", "chunk")
-    return ranges.extract_ranges(chunks, bounds)
+    own = spans.join(touched.select("file_id", "ordinal").distinct(), ["file_id", "ordinal"], "left_semi")
+    chunks = resume.decode_points(files, own).select("file_id", "ordinal", "bytes").join(spans.select("file_id", "ordinal", "uncompressed_offset"), ["file_id", "ordinal"])
+    return ranges.extract_ranges(chunks.withColumnRenamed("ordinal", "chunk"), bounds)
+
+
+def read_at(files: DataFrame, seeks: DataFrame, index: Index) -> DataFrame:
+    """file_id, range_ord, chunk, bytes of seeks (file_id, range_ord, whence, delta, size): `size` bytes from a place that is counted from `start` or `end`.
+
+    A place before byte 0 raises, and one counted from the end where the index doesn't have the decoded size; one at or past the end gives nothing.
+    """
+    points, windows, meta = index
+    points, meta = stored(points, "points"), stored(meta, "meta")
+    spans = stored(indexes.spans(points, meta).join(windows, ["file_id", "compressed_offset_bits"], "left"), "spans")
+    unknown = F.raise_error(F.concat(F.lit("the index has no decoded size: "), "file_id")).cast("long")
+    base = F.when(F.col("whence") == "start", F.lit(0).cast("long")).when(F.col("whence") == "end", F.coalesce("uncompressed_size", unknown)).otherwise(F.raise_error(F.lit("whence is start or end")).cast("long"))
+    asked = seeks.join(meta.select("file_id", "uncompressed_size"), "file_id").withColumn("start", c.add_offset(base, F.col("delta").cast("long")))
+    end = F.least(F.col("start") + F.col("size"), "uncompressed_size")
+    return _span_bytes(files, spans, stored(asked.select("file_id", "range_ord", "start", end.alias("end")), "bounds"))
 
 
 def index_points(files: DataFrame, spacing: int | None = None, format: str = "auto") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import checksums, grouping, indexes, intervals, ranges, statistics
 from ..operators.scans import running
-from ..sources import archives, resume
+from ..sources import archives, resume, stored
 from ..sources.blocks import block_table, block_violations
 from ..streaming import streams
 from . import actions
@@ -476,6 +476,36 @@ def index_inside_streams(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", "ordinal", "compressed_offset_bits", "uncompressed_offset", "kind", agree.alias("agree"))
 
 
+@query(f"WITH {M} SELECT mm.file_id, member, 0::BIGINT AS part, off AS uncompressed_offset, size, sha256(unhex(substring(hex(encode(d.text)), 2 * off + 1, 2 * size))) AS sha256 FROM mm JOIN d USING (file_id)")
+def stored_split(spark: SparkSession, d: str) -> DataFrame:
+    files = document_archives(table(spark, d, "documents"), level=0)
+    chunks = stored.stored_chunks(files, stored.stored_blocks(files, "gzip"))
+    return chunks.select("file_id", "member", "part", "uncompressed_offset", F.octet_length("bytes").alias("size"), F.sha2("bytes", 256).alias("sha256"))
+
+
+@query(f"""WITH {D}, s AS (SELECT file_id, n, hex(encode(text)) AS h FROM d WHERE n > 0), r AS (SELECT file_id, 0 AS range_ord, h, n - least(100, n) AS a, least(100, n) AS k FROM s UNION ALL SELECT file_id, 1, h, n // 2, least(50, n - n // 2) FROM s)
+SELECT file_id, range_ord, substring(h, 2 * a + 1, 2 * k) AS bytes FROM r""")
+def read_from_end(spark: SparkSession, d: str) -> DataFrame:
+    """The last 100 bytes of each file and 50 from its middle, through an index."""
+    files = files_of(spark, d)
+    index = actions.import_index(actions.export_index(files))
+    n = F.col("uncompressed_size")
+    one = lambda i, whence, delta, size: F.struct(F.lit(i).alias("range_ord"), F.lit(whence).alias("whence"), delta.cast("long").alias("delta"), F.lit(size).alias("size"))
+    seeks = index[2].select("file_id", F.inline(F.array(one(0, "end", -F.least(F.lit(100), n), 100), one(1, "start", F.floor(n / 2), 50))))
+    pieces = actions.read_at(files, seeks, index).groupBy("file_id", "range_ord").agg(F.array_sort(F.collect_list(F.struct("chunk", F.hex("bytes").alias("h")))).alias("p"))  # 100 bytes at most
+    return pieces.select("file_id", "range_ord", F.array_join(F.col("p.h"), "").alias("bytes"))
+
+
+@query(f"WITH {M} SELECT file_id, 'gzip' AS format, count(*) AS points, count(DISTINCT member) AS headers FROM mm GROUP BY file_id")
+def index_member_headers(spark: SparkSession, d: str) -> DataFrame:
+    """The format of an index's file, and the distinct member headers that its points stand for."""
+    members = members_of(spark, d)
+    points = archives.checkpoints_of(members).withColumn("header", c.member_header_offset(F.col("kind"), F.col("compressed_offset_bits"), F.col("header_offset")))
+    found = points.groupBy("file_id").agg(F.count(F.lit(1)).alias("points"), F.count_distinct("header").alias("headers"))
+    form = archives.index_meta_of(members).select("file_id", c.format_for_index(F.col("kind")).alias("format"))
+    return form.join(found, "file_id")
+
+
 @query()
 def analysis_report(spark: SparkSession, d: str) -> DataFrame:
     return actions.analyze(files_of(spark, d))

@@ -117,14 +117,22 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
+def same_file(a: str, b: str) -> bool:
+    """Whether two paths lead to one file, by links too."""
+    return os.path.exists(a) and os.path.exists(b) and os.path.samefile(a, b)
+
+
 class FileWriter(DataSourceWriter):
-    def __init__(self, folder: str, force: bool):
-        self.folder, self.force = re.sub(r"^file:(//)?", "", folder), force
+    def __init__(self, folder: str, force: bool, inputs: str = ""):
+        self.folder, self.force, self.inputs = re.sub(r"^file:(//)?", "", folder), force, re.sub(r"^file:(//)?", "", inputs)
 
     def write(self, rows: Iterator) -> Written:
         done = []
+        inputs = glob.glob(os.path.join(self.inputs, "*") if os.path.isdir(self.inputs) else self.inputs)
         for row in rows:
             target = os.path.join(self.folder, os.path.basename(row["file_id"]))
+            if any(same_file(target, x) for x in inputs):
+                raise ValueError(f"{target} is an input")
             part = f"{target}.{uuid.uuid4().hex}.part"
             with open(part, "wb") as f:
                 f.write(row["content"] or b"")
@@ -149,7 +157,10 @@ class FileWriter(DataSourceWriter):
 
 
 class FileSink(DataSource):
-    """Rows (file_id, content) as files of a mounted folder, whole or not at all; an existing file is replaced in overwrite mode only."""
+    """Rows (file_id, content) as files of a mounted folder, whole or not at all; an existing file is replaced in overwrite mode only.
+
+    Option inputs: a path or pattern of files that are never replaced.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -159,7 +170,7 @@ class FileSink(DataSource):
         return "file_id string, content binary"
 
     def writer(self, schema: object, overwrite: bool) -> FileWriter:
-        return FileWriter(self.options["path"], overwrite)
+        return FileWriter(self.options["path"], overwrite, self.options.get("inputs", ""))
 
 
 __all__ = ["DeflateSource", "FileSink"]

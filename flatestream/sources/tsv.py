@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +57,18 @@ def fastq_like(spark: SparkSession, records: int, bases: int = 50, seed: int = 1
     return rows.select("id", F.posexplode(lines).alias("at", "line")).select((F.col("id") * 4 + F.col("at")).alias("line_no"), "line")
 
 
+def pseudo_random(spark: SparkSession, size: int, seed: int = 1, piece: int = 1 << 20) -> DataFrame:
+    """piece, bytes: `size` bytes that don't compress; a piece depends on the seed and its number alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                data = np.random.Generator(np.random.Philox(key=[seed, i])).bytes(min(piece, size - i * piece))
+                yield pa.record_batch([pa.array([i], pa.int64()), pa.array([data], pa.binary())], ["piece", "bytes"])
+
+    return spark.range(-(-size // piece)).mapInArrow(run, "piece long, bytes binary")
+
+
 def fastq_records(lines: DataFrame) -> DataFrame:
     """file_id, records, bases from a line table; raises where a record doesn't have its four lines in form."""
     rows = lines.withColumn("record", F.floor(F.col("line") / 4)).withColumn("at", F.col("line") % 4).withColumn("text", F.decode("text", "UTF-8"))

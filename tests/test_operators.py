@@ -179,3 +179,22 @@ def test_stream_of_windows_leaves_rows_in_files(spark, tmp_path):
     want = streams.telemetry_windows(rows, "1 hour")
     key = lambda df: sorted((r.window.start, r.event_type, r.samples, r.most) for r in df.collect())
     assert key(got) == key(want)
+
+
+def test_supported_and_checked_columns(spark):
+    from flatestream.functions import columns
+    from flatestream.operators.statistics import supported
+
+    plan = spark.createDataFrame([(t, m, f) for t in "abc" for m in ("stdout", "verify") for f in ("gzip", "zlib")], "tool string, mode string, format string")
+    rules = spark.createDataFrame([("a", None, None), ("b", "verify", "gzip"), ("b", None, "gzip")], "tool string, mode string, format string")
+    assert sorted((r.tool, r.mode, r.format) for r in supported(plan, rules).collect()) == [("a", m, f) for m in ("stdout", "verify") for f in ("gzip", "zlib")] + [("b", "stdout", "gzip"), ("b", "verify", "gzip")]
+    at = lambda b, d: spark.createDataFrame([(b, d)], "b long, d long").select(columns.add_offset(F.col("b"), F.col("d"))).first()[0]
+    assert (at(5, -5), at(5, 7), at(None, 1)) == (0, 12, None)
+    for b, d in ((5, -6), ((1 << 63) - 1, 1)):
+        with pytest.raises(Exception):
+            at(b, d)
+    head = lambda k: spark.createDataFrame([(k, 80, 3)], "k string, b long, h long").select(columns.member_header_offset(F.col("k"), F.col("b"), F.col("h"))).first()[0]
+    assert (head("gzip_member_header"), head("gzip_member_deflate")) == (10, 3)
+    with pytest.raises(Exception):
+        head("deflate_block")
+    assert [r[0] for r in spark.createDataFrame([("bgzf",), ("zlib",)], "k string").select(columns.format_for_index(F.col("k"))).collect()] == ["gzip", "zlib"]

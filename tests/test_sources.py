@@ -7,7 +7,7 @@ import pytest
 
 from flatestream.plans import actions
 from flatestream.plans.views import gzip_member
-from flatestream.sources import archives, resume
+from flatestream.sources import archives, resume, stored, tsv
 from flatestream.sources.blocks import stream_blocks
 from flatestream.sources.datasource import DeflateSource, FileSink, first_block
 from flatestream.sources.index_files import byte_of, bits_of, index_files, index_table, read_index, write_index
@@ -243,3 +243,62 @@ def test_first_bytes_and_summary(spark):
     assert b"".join(bytes(r.bytes) for r in actions.first_bytes(files, 5).orderBy("chunk").collect()) == b"abc\nd"
     row = actions.summary(files, seconds=0.5).first()
     assert (row.files, row.member_count, row.decompressed_bytes, row.line_count) == (2, 3, 7, 1) and row.mib_per_second == 14 / (1 << 20)
+
+
+def test_stored_streams_are_cut(spark):
+    many = zlib.compressobj(0, zlib.DEFLATED, -15)
+    many = b"".join(many.compress(TEXT[i : i + 5000]) + many.flush(zlib.Z_FULL_FLUSH) for i in range(0, len(TEXT), 5000)) + many.flush()
+    raw = {"a": gzip_member(TEXT, 0) + gzip_member(b"", 0) + gzip_member(TEXT[:9], 0), "b": gzip_member(TEXT, 0) + gzip_member(TEXT), "c": gzip_member(b"", 0)}
+    files = spark.createDataFrame(list(raw.items()), "file_id string, content binary")
+    blocks = stored.stored_blocks(files)
+    assert {r.file_id for r in blocks.select("file_id").distinct().collect()} == {"a", "c"}
+    chunks = stored.stored_chunks(files, blocks, 40_000)
+    got = chunks.where("file_id = 'a'").orderBy("uncompressed_offset", "member").collect()
+    assert b"".join(bytes(r.bytes) for r in got) == TEXT + TEXT[:9] and {r.member for r in got} == {0, 1, 2}
+    assert stored.stored_mismatches(chunks, blocks).count() == 0
+    for content, format in ((many, "raw-deflate"), (zlib.compress(TEXT, 0), "zlib")):
+        one = spark.createDataFrame([("f", content)], "file_id string, content binary")
+        parts = stored.stored_chunks(one, stored.stored_blocks(one, format), 20_000).orderBy("part").collect()
+        assert b"".join(bytes(r.bytes) for r in parts) == TEXT and len(parts) > 2
+    wrong = bytearray(raw["a"])
+    wrong[20] ^= 1
+    bad = spark.createDataFrame([("f", bytes(wrong))], "file_id string, content binary")
+    rows = stored.stored_blocks(bad)
+    assert stored.stored_mismatches(stored.stored_chunks(bad, rows), rows).first().member == 0
+    length = bytearray(raw["a"])
+    length[11] ^= 1
+    for content in (bytes(length), raw["c"][:-3], zlib.compress(b"x", 0) + b"y", b""):
+        with pytest.raises(Exception):
+            stored.stored_blocks(spark.createDataFrame([("f", content)], "file_id string, content binary")).collect()
+
+
+def test_read_at(spark):
+    files = spark.createDataFrame([("a", gzip_member(TEXT, 6, 2)), ("b", gzip_member(b"abc") + gzip_member(b"def"))], "file_id string, content binary")
+    index = actions.import_index(actions.export_index(files, spacing=9000))
+    seeks = [("a", 0, "end", -70_000, 30_000), ("a", 1, "start", 149_990, 99), ("a", 2, "start", 200_000, 5), ("b", 0, "end", -4, 2), ("b", 1, "end", 0, 3)]
+    form = "file_id string, range_ord int, whence string, delta long, size int"
+    got = {}
+    for r in actions.read_at(files, spark.createDataFrame(seeks, form), index).orderBy("chunk").collect():
+        got[r.file_id, r.range_ord] = got.get((r.file_id, r.range_ord), b"") + bytes(r.bytes)
+    assert got == {("a", 0): TEXT[-70_000:-40_000], ("a", 1): TEXT[149_990:], ("b", 0): b"cd"}
+    for bad in (("b", 0, "end", -7, 2), ("b", 0, "start", -1, 2), ("b", 0, "middle", 0, 2)):
+        with pytest.raises(Exception):
+            actions.read_at(files, spark.createDataFrame([bad], form), index).collect()
+    unsized = (index[0], index[1], index[2].withColumn("uncompressed_size", actions.F.lit(None).cast("long")))
+    with pytest.raises(Exception):
+        actions.read_at(files, spark.createDataFrame(seeks[3:4], form), unsized).collect()
+
+
+def test_inputs_are_kept_and_random_bytes(spark, tmp_path):
+    spark.dataSource.register(FileSink)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    (tmp_path / "in/a").write_bytes(b"old")
+    (tmp_path / "out/b").symlink_to(tmp_path / "in/a")
+    for name, folder in (("a", "in"), ("b", "out")):
+        with pytest.raises(Exception):
+            spark.createDataFrame([(name, b"new")], "file_id string, content binary").write.format("file_sink").option("inputs", f"{tmp_path}/in").mode("overwrite").save(f"{tmp_path}/{folder}")
+    assert (tmp_path / "in/a").read_bytes() == b"old"
+    read = lambda *a: b"".join(bytes(r.bytes) for r in tsv.pseudo_random(spark, *a).orderBy("piece").collect())
+    whole = read(2500, 5, 1000)
+    assert len(whole) == 2500 and whole == read(2500, 5, 1000) != read(2500, 6, 1000) and len(zlib.compress(whole)) > 2490 and read(0, 1) == b""
