@@ -480,7 +480,7 @@ def index_inside_streams(spark: SparkSession, d: str) -> DataFrame:
 def stored_split(spark: SparkSession, d: str) -> DataFrame:
     files = document_archives(table(spark, d, "documents"), level=0)
     chunks = stored.stored_chunks(files, stored.stored_blocks(files, "gzip"))
-    return chunks.select("file_id", "member", "part", "uncompressed_offset", F.octet_length("bytes").alias("size"), F.sha2("bytes", 256).alias("sha256"))
+    return chunks.select("file_id", "member", "part", "uncompressed_offset", F.octet_length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("sha256"))
 
 
 @query(f"""WITH {D}, s AS (SELECT file_id, n, hex(encode(text)) AS h FROM d WHERE n > 0), r AS (SELECT file_id, 0 AS range_ord, h, n - least(100, n) AS a, least(100, n) AS k FROM s UNION ALL SELECT file_id, 1, h, n // 2, least(50, n - n // 2) FROM s)
