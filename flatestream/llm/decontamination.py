@@ -17,6 +17,8 @@ from .common import materialize
 
 #: A sketch or a table of items of more bytes than this isn't broadcast: the join with the documents is then a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Of such a sketch a bitmap with so many bits (32 MiB, whatever the sketch's size) is broadcast: only document hashes that may occur are shuffled.
+BITMAP, BITMAP_ROW = 1 << 28, 1 << 15
 SKETCH_ROW = 64
 CLASSES_PER_HIT = 4
 
@@ -43,6 +45,16 @@ def _bounded(df: DataFrame, row_bytes: Column) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def _maybe(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The rows whose hash may occur in the sketch, by a bitmap of its hashes; none that occurs is lost."""
+    place = F.pmod(F.col("hash"), F.lit(BITMAP))
+    at = {"_row": F.floor(place / BITMAP_ROW), "_bit": F.pmod(place, F.lit(BITMAP_ROW))}
+    bits = sketch.select("hash").withColumns(at).groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumns(at).join(F.broadcast(bits), "_row")
+    return found.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment: one row for each item contained in a document.
 
@@ -61,7 +73,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent:
     lengths = sorted(r.length for r in items.select("length").distinct().collect())
     most_hits = 1 + 31 // CLASSES_PER_HIT
     sketch = items.select("item_id", "n_item", "need", "spare", F.posexplode(F.slice(F.array_sort("h"), F.lit(1), (F.col("spare") + most_hits).cast("int"))).alias("place", "hash"))
-    sketch = _bounded(materialize(sketch, "sketch"), F.lit(SKETCH_ROW))
+    sketch = materialize(sketch, "sketch")
+    held = _bounded(sketch, F.lit(SKETCH_ROW))
 
     own = docs.select("doc_id", _words("text").alias("w")).withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
     found = [_hashes(F.col("w"), F.col("h"), n) for n in lengths or [k]]
@@ -70,7 +83,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent:
     # The columns that take part in the join condition can't be null, for the same reason.
     size_class = F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int")
     own = own.select("doc_id", "n", F.coalesce(F.lit(1) + F.floor(size_class / CLASSES_PER_HIT), F.lit(1)).alias("hits"), F.explode_outer("h").alias("hash"))
-    hits = own.join(sketch, "hash").where((F.col("n") >= F.col("need")) & (F.col("place") < F.col("spare") + F.col("hits")))
+    own = _maybe(own, sketch) if held is sketch else own
+    hits = own.join(held, "hash").where((F.col("n") >= F.col("need")) & (F.col("place") < F.col("spare") + F.col("hits")))
     hits = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("got"), F.min(F.least("hits", F.col("need"))).alias("hits"))
     pairs = materialize(hits.where(F.col("got") >= F.col("hits")).select("doc_id", "item_id"), "contained")
 

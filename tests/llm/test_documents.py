@@ -409,7 +409,20 @@ def test_language_counts_by_brute_force(monkeypatch):
         assert sorted(counts.tolist()) == sorted(want.values()) and len(grams) == len(want)
 
 
-def test_contained_items(spark, corpus):
+def test_sketch_bitmap(spark):
+    rng = random.Random(8)
+    known = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(500)] + [-(1 << 63), (1 << 63) - 1, 0, -1]
+    asked = [*known, *(x ^ 1 for x in known), *(x ^ (1 << 40) for x in known), None]
+    sketch = spark.createDataFrame([(x, 1) for x in known], "hash long, place int")
+    got = decontamination._maybe(spark.createDataFrame([(x, "r") for x in asked], "hash long, _key string"), sketch)
+    places = {x % decontamination.BITMAP for x in known}
+    assert got.columns == ["hash", "_key"]
+    assert Counter(r[0] for r in got.collect()) == Counter(x for x in asked if x is not None and x % decontamination.BITMAP in places)
+
+
+@pytest.mark.parametrize("broadcast_bytes", [decontamination.BROADCAST_BYTES, -1])
+def test_contained_items(spark, corpus, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", broadcast_bytes)
     rng = random.Random(6)
     items = [(1, " ".join(prose(rng, 30))), (2, " ".join(prose(rng, 12))), (3, "three Word item"), (4, None), (5, ""), (6, "absent"), (1, "again other words here now")]
     rows = list(corpus[:60])
